@@ -42,7 +42,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIGS_PER_PARTITION = 1_500_000
 FLUSH = 1_500_000
-BITS = 2048
 BLOCK = 512
 BROADCAST_IDS = 1_000_000
 
@@ -144,15 +143,24 @@ def _sets(column):
 
 
 def _bitmaps(sets: list[np.ndarray]) -> list[bytes]:
-    """Parity bitmaps: two differ in at most as many bits as the sets differ
-    in shingles."""
+    """Parity bitmaps of two to four bits a shingle, a power of two: two maps
+    differ in at most as many bits as their sets differ in shingles, also when
+    the longer one is folded onto the shorter."""
     out = []
     for s in sets:
-        bits = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-        out.append(np.packbits(bits.astype(bool)).tobytes())
+        bits = 1 << max(9, (2 * len(s) - 1).bit_length())
+        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
     return out
 
 
+def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
 def _prints(batches):
     """(doc_id, text) -> (doc_id, n_shingles, fp, bitmap); the last two are
     null where there is no shingle."""
@@ -285,9 +293,12 @@ def _possible(num: int, den: int):
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            ma, mb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-            far = np.bitwise_count(ma ^ mb).sum(1, dtype=np.int64)
-            keep = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (far * (den + num) <= (den - num) * (na + nb))
+            keep = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+            for i in np.flatnonzero(keep).tolist():
+                a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                words = min(len(a), len(b))
+                far = int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum())
+                keep[i] = far * (den + num) <= (den - num) * (int(na[i]) + int(nb[i]))
             where = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where)], ["a", "b"])
 
@@ -301,7 +312,9 @@ def _cells(num: int, den: int):
     def pairs(rows):
         block = np.array([r[3] for r in rows])
         fp, label, n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        maps = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
+        maps = [np.frombuffer(r[7], np.uint64) for r in rows]
+        words = min(len(m) for m in maps)  # members of a group are of like size
+        maps = np.stack([fold(m, words) for m in maps])
         i, j = rows[0][1], rows[0][2]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for a in left:
