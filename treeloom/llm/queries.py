@@ -3,18 +3,76 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeloom.llm import jaccard_join
+from treeloom.llm import decontaminate, importance, jaccard_join, license_scan, mixing, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from treeloom.llm._store import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return importance.resample(docs, importance.target_rows(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_url_filter, op2_secret_scan, op3_jaccard_join, op4_token_counts, op5_decontaminate, op6_importance, op7_mixing, op8_license_scan, op9_toxicity, op10_quality_rules)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_jaccard_join,)}
+    return {f.__name__: f for f in QUERIES}
+
+
+OP1_SQL = r"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages),
+s AS (
+  SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM u),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM s),
+rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+f AS (
+  SELECT page_id, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(v, length(h || rules.p)) AS v
+  FROM p JOIN rules ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, rules.p) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'spam|pills|casino|malware|phish') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f ON p.page_id = f.page_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL, "op5_decontaminate": decontaminate.MATCHES_SQL}
