@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.functions.session import guard
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session
@@ -25,6 +27,7 @@ class Scratch:
     executors. ``drop`` frees one as soon as nothing reads it any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        guard(spark)
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def put(self, df: DataFrame) -> DataFrame:
