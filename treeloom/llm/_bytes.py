@@ -124,6 +124,15 @@ class Words:
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
 
+    def prefix_hashes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes (of all, if fewer)."""
+        n = len(self.buf)
+        power, inverse = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        end = np.minimum(self.end, self.start + size)
+        return mix((sums[end] - sums[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
+
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), self.count)
 

@@ -1,7 +1,11 @@
 """Toxicity by a convolutional text classifier.
 
-Words are hashed to embeddings; filters of several widths run over the whole
-text, each keeps its maximum, and a logistic layer gives the score.  Training
+A word's embedding is the sum of the embeddings of its hash and of the hashes
+of its first four and six bytes, so that inflected forms share what they have
+learned; features in fewer than ``MIN_DF`` texts of the sample have none, which
+keeps the maxima from resting on words that occur once.  Filters of several
+widths run over the whole text, each keeps its maximum, and a logistic layer
+gives the score.  Training
 is plain numpy with Adagrad steps (the gradient of a maximum touches one place
 a filter, so a step is cheap) on a bounded sample of labelled rows.  A filter
 over embeddings is a sum of one table look-up a word and offset, so scoring
@@ -23,14 +27,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm._bytes import ALNUM, Words, hash_words, text_slices
+from treeloom.llm._bytes import ALNUM, Words, hash_words, mix, text_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CUT = 0.3
-BUCKETS = 1 << 15
+PREFIXES = (4, 6)
+MIN_DF = 4
 SAMPLE = 8_000  # labelled rows to fit on
-SAMPLE_DOC_WORDS = 4_000  # longer texts are not fitted on (all are scored)
+SAMPLE_DOC_WORDS = 2_000  # longer texts are not fitted on (all are scored)
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 12
 EPOCHS, SEED = 8, 7
 
@@ -56,13 +61,17 @@ def _word_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Texts:
-    """Hashed words and language numbers of a run of texts."""
+    """Feature hashes (one row a kind, 32 bits each; 0: none) of the words of
+    a run of texts, and the texts' language numbers."""
 
     def __init__(self, buf, offsets, table):
         words = Words(buf, offsets, ALNUM, True)
-        h = words.hashes()
+        h, size = words.hashes(), words.end - words.start
         self.first, self.count, self.docs = words.first, words.count, words.docs
-        self.bucket = (h >> np.uint64(49)).astype(np.int32)
+        kinds = [h]
+        for k, n in enumerate(PREFIXES):
+            kinds.append(np.where(size > n, mix(words.prefix_hashes(n) + np.uint64(k + 1)), np.uint64(0)))
+        self.hashes = np.stack([(x >> np.uint64(32)).astype(np.uint32) for x in kinds])
         keys, lang = table
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         hit = np.flatnonzero(keys[at] == h)
@@ -73,42 +82,54 @@ class Texts:
 
 
 class Model:
-    def __init__(self, seed: int = SEED):
+    """``keys``: sorted hashes of the known features; feature number 0 is no
+    feature, number i + 1 is ``keys[i]``."""
+
+    def __init__(self, keys: np.ndarray, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.embed = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
+        self.keys = keys
+        self.embed = rng.normal(0, 0.2, (len(keys) + 1, DIM)).astype(np.float32)
+        self.embed[0] = 0
         self.filters = {w: rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.base = np.float32(-2.0)
         self.shift = np.zeros(len(LANGS))
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(hashes.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where((self.keys[at] == hashes) & (hashes != 0), at + 1, 0).astype(np.int32)
+
     def freeze(self) -> None:
-        """Look-up tables: what a word adds to a filter at each offset."""
+        """Look-up tables: what a feature adds to a filter at each offset."""
         self.tables = {w: [np.ascontiguousarray(self.embed @ self.filters[w][j]) for j in range(w)] for w in WIDTHS}
 
-    def pooled(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def pooled(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Filter maxima of each text; a text shorter than a filter has 0."""
-        docs, count = len(first) - 1, np.diff(first)
+        docs, count, total = len(first) - 1, np.diff(first), numbers.shape[1]
         out = np.zeros((docs, len(WIDTHS) * FILTERS), np.float32)
         for k, w in enumerate(WIDTHS):
-            if len(bucket) < w:
+            if total < w:
                 continue
-            n = len(bucket) - w + 1
-            act = self.tables[w][0][bucket[:n]]
-            for j in range(1, w):
-                act += self.tables[w][j][bucket[j : n + j]]
+            n = total - w + 1
+            act = np.zeros((n, FILTERS), np.float32)
+            for j in range(w):
+                for kind in numbers:
+                    act += self.tables[w][j][kind[j : n + j]]
             for d in np.flatnonzero(count >= w):
                 a = first[d]
                 out[d, k * FILTERS : (k + 1) * FILTERS] = act[a : a + count[d] - w + 1].max(0)
             out[:, k * FILTERS : (k + 1) * FILTERS] += self.bias[w]
         return np.maximum(out, 0)
 
-    def logits(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.pooled(bucket, first) @ self.out + self.base
+    def logits(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return self.pooled(numbers, first) @ self.out + self.base
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
         rng, rate = np.random.default_rng(seed), 0.1
-        grads = {"embed": np.full((BUCKETS, DIM), 1e-2, np.float32), "out": np.full(self.out.shape, 1e-2, np.float32)}
+        grads = {"embed": np.full(self.embed.shape, 1e-2, np.float32), "out": np.full(self.out.shape, 1e-2, np.float32)}
         squares = {w: np.full(self.filters[w].shape, 1e-2, np.float32) for w in WIDTHS}
         bias_sq = {w: np.full(FILTERS, 1e-2, np.float32) for w in WIDTHS}
         base_sq, weight = 1e-2, np.where(labels == 1, min(4.0, max(1.0, (labels == 0).sum() / max(1, (labels == 1).sum()) / 2)), 1.0)
@@ -118,11 +139,11 @@ class Model:
                 places, feats = [], np.zeros((len(lot), len(self.out)), np.float32)
                 for r, i in enumerate(lot):
                     x = texts[i]
-                    e = self.embed[x]
+                    e = self.embed[x].sum(0)
                     for k, w in enumerate(WIDTHS):
-                        if len(x) < w:
+                        if len(e) < w:
                             continue
-                        n = len(x) - w + 1
+                        n = len(e) - w + 1
                         act = e[:n] @ self.filters[w][0]
                         for j in range(1, w):
                             act += e[j : n + j] @ self.filters[w][j]
@@ -147,10 +168,12 @@ class Model:
                         continue
                     b_grad[w] += d
                     for j in range(w):
-                        word = x[top[on] + j]
-                        f_grad[w][j][:, on] += self.embed[word].T * d[on]
-                        ids.append(word)
-                        steps.append(self.filters[w][j][:, on].T * d[on][:, None])
+                        word = x[:, top[on] + j]
+                        f_grad[w][j][:, on] += self.embed[word].sum(0).T * d[on]
+                        step = self.filters[w][j][:, on].T * d[on][:, None]
+                        for kind in word:
+                            ids.append(kind)
+                            steps.append(step)
                 for w in WIDTHS:
                     squares[w] += f_grad[w] ** 2
                     self.filters[w] -= rate * f_grad[w] / np.sqrt(squares[w])
@@ -162,6 +185,7 @@ class Model:
                     np.add.at(total, inverse, np.concatenate(steps))
                     grads["embed"][rows] += total**2
                     self.embed[rows] -= rate * total / np.sqrt(grads["embed"][rows])
+                    self.embed[0] = 0
         self.freeze()
 
     def calibrate(self, logits: np.ndarray, langs: np.ndarray, labels: np.ndarray) -> None:
@@ -190,7 +214,7 @@ def score_texts(model: Model, column, table) -> np.ndarray:
     out = []
     for _, buf, offsets in text_slices(column, 1 << 18):
         texts = Texts(buf, offsets, table)
-        x = model.logits(texts.bucket, texts.first) + model.shift[texts.lang]
+        x = model.logits(model.numbers(texts.hashes), texts.first) + model.shift[texts.lang]
         out.append(1 / (1 + np.exp(-np.clip(x, -40, 40))))
     return np.concatenate(out) if out else np.zeros(0)
 
@@ -207,7 +231,7 @@ def _pack(table):
             for _, buf, offsets in text_slices(batch.column(1)):
                 texts = Texts(buf, offsets, table)
                 for d in range(texts.docs):
-                    words.append(texts.bucket[texts.first[d] : texts.first[d + 1]].tobytes())
+                    words.append(texts.hashes[:, texts.first[d] : texts.first[d + 1]].tobytes())
                 langs.append(texts.lang)
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(words, pa.binary()), pa.array(np.concatenate(langs).astype(np.int32) if langs else [], pa.int32())], ["doc_id", "toxic", "words", "lang"])
@@ -227,24 +251,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     table = _word_table()
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = own.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_pack(table), "doc_id bigint, toxic int, words binary, lang int")
-    texts, y, langs = [], [], []
-    got = rows.where(F.length("words") <= 4 * SAMPLE_DOC_WORDS).collect()  # bounded by the two parameters
+    hashes, y, langs, kinds = [], [], [], 1 + len(PREFIXES)
+    got = rows.where(F.length("words") <= 4 * kinds * SAMPLE_DOC_WORDS).collect()  # bounded by the two parameters
     for r in sorted(got, key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) & (2**64 - 1), bytes(r["words"]))):
-        x = np.frombuffer(r["words"], np.int32)
-        if len(x):
-            texts.append(x)
+        if r["words"]:
+            hashes.append(np.frombuffer(r["words"], np.uint32).reshape(kinds, -1))
             y.append(r["toxic"])
             langs.append(r["lang"])
-    model, y, langs = Model(), np.array(y, np.int64), np.array(langs, np.int64)
+    y, langs = np.array(y, np.int64), np.array(langs, np.int64)
     if len(set(y.tolist())) < 2:
+        model = Model(np.zeros(0, np.uint32))
         model.out[:] = 0
         model.base = np.float32(10.0 if len(y) and y[0] else -10.0)
         model.freeze()
         return model
     back = np.arange(len(y)) % 4 == 3  # held back to calibrate on
+    seen, df = np.unique(np.concatenate([np.unique(h) for h, b in zip(hashes, back, strict=True) if not b]), return_counts=True)
+    model = Model(seen[(df >= MIN_DF) & (seen != 0)])
+    texts = [model.numbers(h) for h in hashes]
     model.fit([t for t, b in zip(texts, back, strict=True) if not b], y[~back])
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    logits = np.concatenate([model.logits(np.concatenate(texts[i : i + 256]), first[i : i + 257][: len(texts[i : i + 256]) + 1] - first[i]) for i in range(0, len(texts), 256)])
+    logits = np.concatenate([model.logits(t, np.array([0, t.shape[1]])) for t in texts])
     model.calibrate(logits[back], langs[back], y[back])
     return model
 
