@@ -4,13 +4,12 @@ from its own to its own plus ``subtree_size`` - 1."""
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.functions.session import guard
-
 KEYS = ("doc_id", "span_idx")
 
 
@@ -27,17 +26,15 @@ def with_sizes(nodes: DataFrame, keys=KEYS) -> DataFrame:
     return out.withColumn("is_leaf", F.col("num_children") == 0)
 
 
-def with_paths(nodes: DataFrame, keys=KEYS, max_depth: int = 20) -> DataFrame:
+def with_paths(nodes: DataFrame, keys=KEYS) -> DataFrame:
     """``path``: the root is "0", a child its parent's path, a dot and its
-    index; one join a level."""
-    guard(nodes.sparkSession)
-    level = nodes.where("parent_id = -1").select(*keys, "node_id", F.lit("0").alias("path"))
-    levels = [level]
-    for _ in range(max_depth):
-        up = level.select(*keys, F.col("node_id").alias("parent_id"), F.col("path").alias("up"))
-        level = nodes.select(*keys, "node_id", "parent_id", "child_index").join(up, [*keys, "parent_id"]).select(*keys, "node_id", F.concat_ws(".", "up", F.col("child_index").cast("string")).alias("path"))
-        levels.append(level)
-    return nodes.drop("path").join(reduce(DataFrame.unionAll, levels), [*keys, "node_id"], "left").withColumn("path", F.coalesce("path", F.lit("root")))
+    index.  A node's ancestors are the nodes whose id range holds its id, so
+    one join finds them all; their indices by depth are the path."""
+    up = nodes.select(*keys, F.col("node_id").alias("a_id"), F.col("subtree_size").alias("a_size"), F.struct(F.col("depth"), F.when(F.col("depth") == 0, F.lit("0")).otherwise(F.col("child_index").cast("string")).alias("index")).alias("step"))
+    inside = (F.col("node_id") >= F.col("a_id")) & (F.col("node_id") < F.col("a_id") + F.col("a_size"))
+    chain = nodes.select(*keys, "node_id").join(up, list(keys)).where(inside)
+    paths = chain.groupBy(*keys, "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda x: x["index"]), ".").alias("path"))
+    return nodes.drop("path").join(paths, [*keys, "node_id"])
 
 
 def truncate(nodes: DataFrame, max_depth: int, keys=KEYS) -> DataFrame:
@@ -54,17 +51,34 @@ def truncate(nodes: DataFrame, max_depth: int, keys=KEYS) -> DataFrame:
     return with_sizes(out, keys)
 
 
-def subtree_hash(nodes: DataFrame, keys=KEYS, max_height: int = 21) -> DataFrame:
-    """``subtree_hash``: md5 of the token and the children's hashes in order;
-    bottom up, one join a height, and a node's turn comes when all its
-    children have theirs."""
-    out = nodes.withColumn("subtree_hash", F.when(F.col("height") == 0, F.md5("token")))
-    for h in range(1, max_height + 1):
-        kids = out.where(F.col("subtree_hash").isNotNull()).select(*keys, F.col("parent_id").alias("node_id"), F.struct("child_index", "subtree_hash").alias("kid"))
-        parts = kids.groupBy(*keys, "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("kid")), lambda x: x["subtree_hash"]), "").alias("kids"))
-        turn = F.when(F.col("height") == h, F.md5(F.concat("token", "kids")))
-        out = out.join(parts, [*keys, "node_id"], "left").withColumn("subtree_hash", F.coalesce("subtree_hash", turn)).drop("kids")
-    return out
+def hash_trees():
+    """An Arrow UDF from a tree's rows (node_id, parent_id, child_index, token)
+    to (node_id, subtree_hash); children have larger ids than parents."""
+
+    @F.arrow_udf(returnType="array<struct<node_id:int,subtree_hash:string>>")
+    def run(trees: pa.Array) -> pa.Array:
+        out = []
+        for rows in trees.to_pylist():
+            kids: dict[int, list] = {}
+            done = []
+            for r in sorted(rows or [], key=lambda r: -r["node_id"]):
+                own = "".join(h for _, h in sorted(kids.pop(r["node_id"], [])))
+                digest = hashlib.md5((r["token"] + own).encode()).hexdigest()
+                kids.setdefault(r["parent_id"], []).append((r["child_index"], digest))
+                done.append({"node_id": r["node_id"], "subtree_hash": digest})
+            out.append(done)
+        return pa.array(out, pa.list_(pa.struct([("node_id", pa.int32()), ("subtree_hash", pa.string())])))
+
+    return run
+
+
+def subtree_hash(nodes: DataFrame, keys=KEYS) -> DataFrame:
+    """``subtree_hash``: md5 of the token and the children's hashes in order.
+    A tree is gathered once and hashed bottom up (trees are as small as their
+    expressions)."""
+    trees = nodes.groupBy(*keys).agg(F.collect_list(F.struct("node_id", "parent_id", "child_index", "token")).alias("t"))
+    hashes = trees.select(*keys, F.explode(hash_trees()(F.col("t"))).alias("h")).select(*keys, "h.*")
+    return nodes.join(hashes, [*keys, "node_id"])
 
 
 def dedup(hashed: DataFrame, keys=KEYS) -> DataFrame:

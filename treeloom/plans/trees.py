@@ -57,11 +57,11 @@ def subtree_sizes(spark, sf_dir):
 
 
 def subtree_hash(spark, sf_dir):
-    return tree.subtree_hash(_nodes(spark, sf_dir), KEY, 3).select("doc_id", "node_id", "subtree_hash")
+    return tree.subtree_hash(_nodes(spark, sf_dir), KEY).select("doc_id", "node_id", "subtree_hash")
 
 
 def dedup_refs(spark, sf_dir):
-    rows = tree.dedup(tree.subtree_hash(_nodes(spark, sf_dir), KEY, 3), KEY)
+    rows = tree.dedup(tree.subtree_hash(_nodes(spark, sf_dir), KEY), KEY)
     return serialize.serialize(rows, keys=KEY).select("doc_id", "position", "token")
 
 
@@ -96,7 +96,7 @@ def sibling_counts(spark, sf_dir):
 
 
 def position_keys(spark, sf_dir):
-    paths = tree.with_paths(_nodes(spark, sf_dir), KEY, 3)
+    paths = tree.with_paths(_nodes(spark, sf_dir), KEY)
     return paths.select("doc_id", "node_id", F.col("path").alias("tree_position_key"))
 
 
