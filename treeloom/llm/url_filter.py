@@ -107,8 +107,7 @@ def build(universe: DataFrame, scratch: Scratch) -> Cascade:
         words = scratch.put(_words(inside, level, bits))
         sizes.append(bits)
         tables.append(words)
-        one = _gather(words)
-        held = F.transform(F.array(one.scalar()), lambda w: _held(F.get(w, F.lit(0)), F.col("key"), level, bits))[0]  # noqa: B023
+        held = _held(F.get(_gather(words).scalar(), F.lit(0)), F.col("key"), level, bits)
         through = scratch.put(outside.where(held))
         inside, outside, n = through, inside, through.count()
     if not tables:
@@ -149,18 +148,23 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col
         mark = listed.select(F.col("key").cast("string").alias("key"), F.lit(True).alias("listed")).distinct()
         universe = keys.join(mark, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
     universe = scratch.put(universe)
-    total = universe.where("listed").count()
-    shards = max(1, math.ceil(total * (BITS_FIRST + 4) / 64 / max_words))
+    listed_keys = universe.where("listed").agg(F.count("*").alias("n"), F.max(F.size(F.split("key", r"\."))).alias("labels")).first()
+    shards = max(1, math.ceil(listed_keys["n"] * (BITS_FIRST + 4) / 64 / max_words))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     shard_of = lambda k: F.pmod(F.xxhash64(k, F.lit(99)), F.lit(shards))
-    urls = urls.withColumn("__in", F.lit(False)) if shards > 1 else urls
+    labels = F.size(F.split("host", r"\."))
     for s in range(shards):
         cascade = build(universe if shards == 1 else universe.where(shard_of(F.col("key")) == s), scratch)
         if not cascade.sizes:
             continue
-        here = lambda k, c=cascade, n=s: (lambda w: c.test(w, k)) if shards == 1 else (lambda w: (shard_of(k) == n) & c.test(w, k))
-        found = F.transform(F.array(cascade.table.scalar()), lambda w, f=here: F.exists(domains(F.col("host")), lambda k: f(k)(w)))[0]  # noqa: B023
-        urls = urls.withColumn("__in", F.col("__in") | found) if shards > 1 else urls.withColumn("__in", found)
+        # the host's last d labels, for every d that a listed key has; a
+        # constant cannot be looked up inside a lambda, so they are spelt out
+        words, found = cascade.table.scalar(), F.col("__in") if "__in" in urls.columns else F.lit(False)
+        for d in range(1, listed_keys["labels"] + 1):
+            key = F.substring_index("host", ".", -d)
+            here = (labels >= d) & (key != "") & cascade.test(words, key)
+            found = found | (here if shards == 1 else (shard_of(key) == s) & here)
+        urls = urls.withColumn("__in", found)
         if shards > 1:
             urls = scratch.put(urls)
     blocked = F.col("__in") if "__in" in urls.columns else F.lit(False)
