@@ -16,7 +16,7 @@ deviations; where no number does (small bands), every shingle has a range of
 its own, and the guarantee is strict.
 
 Signatures travel packed (12 bytes each) and are grouped by sorting.  In each
-group of equal signatures the member with most shared signatures is compared
+group of equal signatures the member whose signatures occur most is compared
 with all others; what that leaves unconnected is compared pairwise in bounded
 blocks.  Sizes and parity bitmaps, which cannot discard a true link, thin out
 the pairs, and every link is verified on the exact sets.  Equal sets are one
@@ -40,8 +40,8 @@ from treeloom.llm._store import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SIGS_PER_PARTITION = 1_500_000
-FLUSH = 1_500_000
+SIGS_PER_PARTITION = 1_000_000
+FLUSH = 700_000
 BLOCK = 512
 BROADCAST_IDS = 1_000_000
 
@@ -216,8 +216,8 @@ def _emit(scheme: Scheme, buckets: int):
 
 
 def _group(limit: int):
-    """Packed signatures -> (gid, fp) of every signature that two or more
-    nodes share.  Past ``limit`` records, only one record of each signature is
+    """Packed signatures -> (gid, fp, m) of every signature that m > 1 nodes
+    share.  Past ``limit`` records, only one record of each signature is
     carried on, so memory stays bounded however large a group is."""
 
     def run(batches):
@@ -236,7 +236,9 @@ def _group(limit: int):
             first[1:] = sig[1:] != sig[:-1]
             alone = first.copy()
             alone[:-1] &= first[1:]
-            out = pa.RecordBatch.from_arrays([pa.array(sig[~alone]), pa.array(fp[~alone])], ["gid", "fp"])
+            at = np.flatnonzero(first)
+            m = np.repeat(np.diff(np.concatenate([at, [len(sig)]])), np.diff(np.concatenate([at, [len(sig)]]))).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(sig[~alone]), pa.array(fp[~alone]), pa.array(m[~alone])], ["gid", "fp", "m"])
             return out, (sig[first], fp[first])
 
         for batch in batches:
@@ -328,11 +330,21 @@ def _cells(num: int, den: int):
                 yield (fp[a], fp[x]) if fp[a] < fp[x] else (fp[x], fp[a])
 
     def run(batches):
-        rows, key, out = [], None, []
+        rows, key, out, seen = [], None, [], set()
+
+        def new(found):
+            """Pairs that this task has not given lately."""
+            for x in found:
+                if x not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(x)
+                    yield x
+
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key is not None and r[:3] != key:
-                    out.extend(pairs(rows))
+                    out.extend(new(pairs(rows)))
                     rows = []
                     if len(out) > 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
@@ -340,7 +352,7 @@ def _cells(num: int, den: int):
                 key = r[:3]
                 rows.append(r)
         if rows:
-            out.extend(pairs(rows))
+            out.extend(new(pairs(rows)))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
@@ -363,10 +375,11 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
     total = prints.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.65 * total / SIGS_PER_PARTITION))
     packed = docs.select("text").mapInArrow(_emit(scheme, 4 * parts), "bucket int, sigs binary, fps binary")
-    members = scratch.put(packed.repartition(parts, "bucket").mapInArrow(_group(2 * SIGS_PER_PARTITION), "gid bigint, fp bigint"))
+    members = scratch.put(packed.repartition(parts, "bucket").mapInArrow(_group(2 * SIGS_PER_PARTITION), "gid bigint, fp bigint, m int"))
 
-    # each group's hub: the member with most shared signatures
-    degree = members.groupBy("fp").agg(F.count("*").alias("d"))
+    # each group's hub: the member whose signatures occur most, which is the
+    # original where copies are edited apart from each other
+    degree = members.groupBy("fp").agg(F.sum("m").alias("d"))
     hubs = members.join(degree, "fp").groupBy("gid").agg(F.max(F.struct("d", "fp"))["fp"].alias("hub"))
     pairs = scratch.put(members.join(hubs, "gid").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
 
