@@ -145,3 +145,16 @@ def test_queries_have_oracles():
 
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 55
     assert trees.NODES_SQL.count("UNION ALL") == 3
+
+
+def test_suites(spark):
+    from treeloom.plans import suites
+
+    assert suites.suite(spark).count() == 70
+    rows = suites.suite(spark, "canonical", "latex_vs_ascii")
+    report = {r["pair"]: r["jaccard"] for r in suites.pair_report(rows).collect()}
+    assert sum(v == 1.0 for v in report.values()) == 15 and report["latex_vs_ascii:5"] == 0.0
+    stats = suites.compare(suites.suite(spark, "probability", "mixed_text_math"))
+    assert {r["tokenizer"]: r["n"] for r in M.summary_means(stats, False).collect()} == {"structural": 2, "char": 2}
+    with pytest.raises(ValueError):
+        suites.suite(spark, "unheard")
