@@ -307,9 +307,10 @@ def _possible(num: int, den: int):
     return run
 
 
-def _cells(num: int, den: int):
+def _cells(num: int, den: int, buckets: int):
     """Sorted (gid, i, j, block, fp, label, n, bitmap) -> pairs of different
-    labels that size and bitmap leave possible."""
+    labels that size and bitmap leave possible, packed by bucket: the same pair
+    comes from many groups, and travels as 16 bytes."""
 
     def pairs(rows):
         block = np.array([r[3] for r in rows])
@@ -329,35 +330,53 @@ def _cells(num: int, den: int):
             for x in b:
                 yield (fp[a], fp[x]) if fp[a] < fp[x] else (fp[x], fp[a])
 
-    def run(batches):
-        rows, key, out, seen = [], None, [], set()
-
-        def new(found):
-            """Pairs that this task has not given lately."""
-            for x in found:
-                if x not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(x)
-                    yield x
+    def packed(found: set):
+        out = np.array(sorted(found), np.int64).reshape(-1, 2)
+        bucket = out[:, 0] % buckets
+        order = np.argsort(bucket, kind="stable")
+        out, bucket = out[order], bucket[order]
+        at = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(out)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([out[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["bucket", "pairs"])
 
+    def run(batches):
+        rows, key, found = [], None, set()
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key is not None and r[:3] != key:
-                    out.extend(new(pairs(rows)))
+                    found.update(pairs(rows))
                     rows = []
-                    if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-                        out = []
+                    if len(found) > 300_000:
+                        yield packed(found)
+                        found = set()
                 key = r[:3]
                 rows.append(r)
         if rows:
-            out.extend(new(pairs(rows)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            found.update(pairs(rows))
+        if found:
+            yield packed(found)
 
     return run
 
 
+def _unpack(batches):
+    """Packed pairs of a bucket -> distinct (a, b) within bounded runs."""
+    held, n = [], 0
+
+    def distinct():
+        out = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        for x in batch.column(1):
+            held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
+            n += len(held[-1])
+        if n > 2_000_000:
+            yield distinct()
+            held, n = [], 0
+    if n:
+        yield distinct()
+
+
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` and
     ``n_verified`` (other shingle sets that it was compared with and links to;
@@ -421,7 +440,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "label")
         dealt = dealt.join(maps, "fp").select("gid", "i", "j", "block", "fp", "label", "n", "bitmap").repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-        more = dealt.mapInArrow(_cells(num, den), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+        packs = dealt.mapInArrow(_cells(num, den, 4 * parts), "bucket int, pairs binary").repartition(parts, "bucket")
+        more = packs.mapInArrow(_unpack, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
         links = links.unionAll(verify(scratch.put(more)))
         label = scratch.put(components(links, scratch))
     # smallest id of each component
