@@ -220,6 +220,36 @@ def test_importance(spark, docs, rows):
     assert importance.kth_largest(table, 201) is None
 
 
+def test_importance_weighs_whole_texts(spark):
+    """The key is the summed log-ratio of the two models plus the noise."""
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["good", "fine"] if i % 2 else ["bad", "poor"]) for _ in range(60)) for i in range(200)}
+    texts[200] = texts[1] + " " + texts[1]
+    target = [texts[i] for i in range(1, 60, 2)]
+
+    def grams(t):
+        w = t.split()
+        return w + list(zip(w, w[1:]))
+
+    def model(many):
+        count = defaultdict(int)
+        for t in many:
+            for g in grams(t):
+                count[g] += 1
+        total = sum(count.values()) + importance.BUCKETS
+        return lambda g: np.log((count[g] + 1) / total)
+
+    own, raw = model(target), model(texts.values())
+    made = importance.resample(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame([(t,) for t in target], "text string"))
+    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(importance.SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    got = made.withColumn("noise", -F.log(-F.log(uniform))).collect()
+    for r in got:
+        ratio = sum(own(g) - raw(g) for g in grams(texts[r["doc_id"]]))
+        assert abs(r["log_ratio"] - ratio) < 1e-6 and abs(r["mean_log_ratio"] - ratio / r["n_grams"]) < 1e-6
+        assert abs(r["gumbel_key"] - ratio - r["noise"]) < 1e-6
+    assert {r["doc_id"] for r in got if r["kept"]} == {*range(1, 200, 2), 200}
+
+
 def test_token_counts(spark):
     tiktoken = pytest.importorskip("tiktoken")  # noqa: F841
     from treeloom.llm import token_counts

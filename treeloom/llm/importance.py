@@ -108,8 +108,9 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_grams``, ``log_ratio`` (mean a
-    gram, so that length alone decides nothing), ``gumbel_key`` and ``kept``.
+    """One row per input row: ``doc_id``, ``n_grams``, ``log_ratio`` (of the
+    whole text: the logarithm of its importance weight), ``mean_log_ratio`` (a
+    gram; nothing is decided by it), ``gumbel_key`` and ``kept``.
 
     ``ceil(share * rows)`` rows have the largest keys; rows of equal keys at
     the border are all kept, so repeated rows go together.  Texts without
@@ -120,7 +121,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
     ratio = log_ratio(bucket_counts(target.select(F.col(text_col).cast("string").alias("text"))), bucket_counts(picked.select("text")))
     scored = picked.mapInArrow(_score(ratio), "doc_id bigint, log_ratio double, n_grams bigint")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = scored.select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.col("log_ratio") / F.col("n_grams")).alias("log_ratio"))
+    keyed = scored.select("doc_id", "n_grams", F.when(F.col("n_grams") > 0, F.col("log_ratio")).alias("log_ratio"), F.when(F.col("n_grams") > 0, F.col("log_ratio") / F.col("n_grams")).alias("mean_log_ratio"))
     keyed = scratch.put(keyed.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform))))
     rows = keyed.count()
     cut = kth_largest(keyed.select(F.col("gumbel_key").alias("key")), min(math.ceil(share * rows), keyed.where("log_ratio is not null").count()))
