@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,41 @@ def test_jaccard_components(spark, docs, rows):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_leftover_groups_seen_in_several_flushes(spark, monkeypatch):
+    """Five groups {hub, b, c}, each seen twice: b and c link, the hub links to neither."""
+    rng = random.Random(21)
+    texts, sigs, links = [], {}, []
+    for g in range(5):
+        hub, other, b = (" ".join(rng.choice(VOCAB) for _ in range(60)) for _ in range(3))
+        c = b + " tail"
+        links.append((len(texts) + 2, len(texts) + 3))
+        for t, own in ((hub, [g, 100 + g]), (other, [100 + g]), (b, [g]), (c, [g])):
+            (_, made), = jaccard_join._sets(pa.array([t]))
+            sigs[int(jaccard_join.fingerprints(made)[0])] = [int(x) for x in jaccard_join.mix(np.array(own, np.uint64))]
+            texts.append(t)
+    name = jaccard_join.fingerprints
+
+    class Forced(jaccard_join.Scheme):
+        def signatures(self, sets):
+            own = [sigs[x] for x in name(sets).tolist()]
+            return np.concatenate([np.array(x, np.uint64) for x in own]), np.array([len(x) for x in own])
+
+    group = jaccard_join._group
+    monkeypatch.setattr(jaccard_join, "Scheme", Forced)
+    monkeypatch.setattr(jaccard_join, "_group", lambda limit: group(1))  # a flush a batch
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1")
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+        twice = docs.unionAll(docs.select(F.col("doc_id") + 1000, "text"))
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(twice).collect()}
+    finally:
+        spark.conf.set(batch, before)
+    want = {i: i for i in range(len(texts))} | {c: b for b, c in links}
+    assert got == want | {i + 1000: k for i, k in want.items()}
+
+
 def test_every_linking_pair_shares_a_signature():
     scheme = jaccard_join.Scheme(75, 100)
     rng = np.random.default_rng(3)

@@ -216,15 +216,16 @@ def _emit(scheme: Scheme, buckets: int):
 
 
 def _group(limit: int):
-    """Packed signatures -> (gid, fp, m) of every signature that m > 1 nodes
-    share.  Past ``limit`` records, only one record of each signature is
-    carried on, so memory stays bounded however large a group is."""
+    """Packed signatures -> (gid, fp, m, again) of every signature that m > 1
+    nodes share.  Past ``limit`` records, only one record of each signature is
+    carried on, so memory stays bounded however large a group is; rows of a
+    partition that comes to this are marked ``again``, as they may repeat."""
 
     def run(batches):
-        held, n = [], 0
+        held, n, cut = [], 0, False
         carry = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def flush():
+        def flush(again):
             sig = np.concatenate([carry[0], *[x[0] for x in held]])
             fp = np.concatenate([carry[1], *[x[1] for x in held]])
             order = np.lexsort((fp, sig))
@@ -238,7 +239,7 @@ def _group(limit: int):
             alone[:-1] &= first[1:]
             at = np.flatnonzero(first)
             m = np.repeat(np.diff(np.concatenate([at, [len(sig)]])), np.diff(np.concatenate([at, [len(sig)]]))).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([pa.array(sig[~alone]), pa.array(fp[~alone]), pa.array(m[~alone])], ["gid", "fp", "m"])
+            out = pa.RecordBatch.from_arrays([pa.array(sig[~alone]), pa.array(fp[~alone]), pa.array(m[~alone]), pa.array(np.full(np.count_nonzero(~alone), again))], ["gid", "fp", "m", "again"])
             return out, (sig[first], fp[first])
 
         for batch in batches:
@@ -247,11 +248,11 @@ def _group(limit: int):
                 held.append(((np.int64(b) << np.int64(32)) | low.astype(np.int64), np.frombuffer(f.as_buffer(), np.int64)))
                 n += len(low)
             if n >= limit:
-                out, carry = flush()
-                held, n = [], 0
+                out, carry = flush(True)
+                held, n, cut = [], 0, True
                 yield out
         if n:
-            yield flush()[0]
+            yield flush(cut)[0]
 
     return run
 
@@ -394,7 +395,10 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
     total = prints.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.65 * total / SIGS_PER_PARTITION))
     packed = docs.select("text").mapInArrow(_emit(scheme, 4 * parts), "bucket int, sigs binary, fps binary")
-    members = scratch.put(packed.repartition(parts, "bucket").mapInArrow(_group(2 * SIGS_PER_PARTITION), "gid bigint, fp bigint, m int"))
+    grouped = scratch.put(packed.repartition(parts, "bucket").mapInArrow(_group(2 * SIGS_PER_PARTITION), "gid bigint, fp bigint, m int, again boolean"))
+    # a signature lies in one partition, so only rows marked ``again`` repeat
+    once = scratch.put(grouped.where("again").groupBy("gid", "fp").agg(F.max("m").alias("m")))
+    members = grouped.where("not again").select("gid", "fp", "m").unionAll(once)
 
     # each group's hub: the member whose signatures occur most, which is the
     # original where copies are edited apart from each other
@@ -430,9 +434,12 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, id_col: s
 
     # groups that the hubs leave in several parts
     tagged = members.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("gid", "fp", F.coalesce("root", "fp").alias("label"))
-    split = tagged.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who")).where("x <> y and m > 2")
-    # signatures with the very same members need one look
-    split = split.groupBy("m", "who").agg(F.min("gid").alias("gid")).select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    first, second = F.xxhash64("fp"), F.xxhash64("fp", F.lit(1))
+    who = [F.sum(h).alias(f"who{k}") for k, h in enumerate((F.shiftrightunsigned(first, 32), first.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(second, 32)))]
+    split = tagged.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), *who).where("x <> y and m > 2")
+    # signatures with the very same members need one look: rows are distinct
+    # here, so their number and 96 bits of sums tell groups apart
+    split = split.groupBy("m", "who0", "who1", "who2").agg(F.min("gid").alias("gid")).select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     left = scratch.put(tagged.join(split, "gid"))
     if not left.isEmpty():
         maps = nodes.select("fp", "n", "bitmap")
