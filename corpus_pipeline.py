@@ -35,8 +35,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document."""
-    return mixing.with_taken(docs)
+    """The blocks that the mix draws, with their words, shuffled in shards."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -202,6 +202,35 @@ def test_mix_shards(spark, docs):
     assert words.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == plan.blocks.agg(F.sum("n_words")).first()[0]
 
 
+def test_mixed_texts(spark, docs, rows):
+    """The drawn blocks hold every row's own words, null and repeated ids included."""
+    odd = docs.select("doc_id", "text", "source", F.lit("en").alias("lang"))
+    odd = odd.unionAll(spark.createDataFrame([(3, "other words under a used id " * 70, "s0", "de"), (None, "no id here " * 90, None, "fr")], odd.schema))
+    got = mixing.mixed_texts(odd).collect()
+    per = mixing.mix(odd).taken().collect()
+    assert sum(r["n_words"] for r in got) == sum(r["taken"] for r in per)
+    assert all(len(r["text"].split()) == r["n_words"] for r in got)
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    blocks, have = defaultdict(int), defaultdict(int)
+    for r in odd.collect():
+        w = words(r["text"])
+        for k in range(0, len(w), mixing.BLOCK):
+            have[r["doc_id"], r["source"], r["lang"], k // mixing.BLOCK, " ".join(w[k : k + mixing.BLOCK])] += 1
+    for r in got:
+        key = next(k for k in have if k[:4] == (r["doc_id"], r["source"], r["lang"], r["block"]) and (k[4] + " ").startswith(r["text"] + " "))
+        blocks[key, r["pass"]] += 1
+    assert all(n <= have[key] for (key, _), n in blocks.items())
+    shards = defaultdict(int)
+    for r in got:
+        shards[r["shard"]] += 1
+    assert max(shards.values()) - min(shards.values()) <= 1
+    drawn = [b for r in per for b in r["drawn"]]
+    assert sorted((b["shard"], b["n_words"]) for b in drawn) == sorted((r["shard"], r["n_words"]) for r in got)
+    at = [(r["shard"], r["shard_order"]) for p in mixing.mixed_texts(odd).rdd.glom().collect() for r in p]
+    assert all(x <= y for x, y in zip(at, at[1:]) if x[0] == y[0])
+    assert mixing.mixed_texts(odd.limit(0)).count() == 0
+
+
 def test_splitting_tree():
     for quotas in ([10, 0, 7], [5000, 3, 90000], [1], []):
         tree = mixing.split_tree(quotas, 8)

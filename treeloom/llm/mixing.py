@@ -121,24 +121,32 @@ class Mix:
     def __init__(self, docs: DataFrame, blocks: DataFrame, shards: int):
         self.docs, self.blocks, self.shards = docs, blocks, shards
 
+    def drawn(self) -> DataFrame:
+        """(rid, drawn): the drawn blocks of each document that gives any, as
+        an array in the order of shards and of places in them."""
+        return self.blocks.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("shard", "shard_order", "block", "pass", "first_word", "n_words"))).alias("drawn"))
+
     def taken(self) -> DataFrame:
-        """``docs`` with ``taken``, the words that the mix takes of each."""
-        by = self.blocks.groupBy("rid").agg(F.sum("n_words").alias("taken"))
-        return self.docs.join(by, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
+        """``docs`` with ``taken``, the words that the mix takes of each, and
+        ``drawn``, the blocks that hold them and their shards."""
+        out = self.docs.join(self.drawn(), "rid", "left").withColumn("drawn", F.coalesce("drawn", F.array()))
+        return out.withColumn("taken", F.aggregate("drawn", F.lit(0).cast("bigint"), lambda n, b: n + b["n_words"]))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
-    """Plans the mix of all rows of ``docs``.
+def mix(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rid_col: str | None = None) -> Mix:
+    """Plans the mix of all rows of ``docs``, which are numbered here unless
+    ``rid_col`` names a column that already does.
 
     Null and empty texts have size 0 and give nothing; a null source is a
     source; null ids and repeated rows count each for itself.  An empty table
     gives an empty mix.  Reruns agree: keys are hashes of id, source, size and
-    block.  Only the three named columns are read."""
+    block.  Only the named columns are read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
+    number = F.monotonically_increasing_id() if rid_col is None else F.col(rid_col)
+    rows = docs.select(number.alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
     # the numbers are made once and kept in the table
-    rows = scratch.put(rows.withColumns({"rid": F.monotonically_increasing_id(), "source_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))}))
+    rows = scratch.put(rows.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))))
     targets = scratch.put(source_targets(rows, weights))
     words = F.round("target").cast("bigint")
     full = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("bigint")
@@ -194,12 +202,25 @@ def shuffled_texts(docs: DataFrame, mixed: Mix) -> DataFrame:
     return cut.repartition(mixed.shards, "shard").sortWithinPartitions("shard", "shard_order")
 
 
-def with_taken(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` with ``size``, ``source_size``, ``target`` and
-    ``taken``.  Rows that agree in id, source and size share their mean."""
-    by = mix(docs, weights, seed).taken().groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    by = by.agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.floor(F.avg("taken")).cast("bigint").alias("taken"))
-    by = Scratch(docs.sparkSession, "taken").put(by)
-    sized = docs.withColumn("size", size_of(F.col("text").cast("string")))
-    same = sized["doc_id"].eqNullSafe(by["__id"]) & sized["source"].eqNullSafe(by["__source"]) & (sized["size"] == by["__size"])
-    return sized.join(by, same).drop("__id", "__source", "__size")
+def mixed_texts(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The mix itself, one row a drawn block and pass: ``shard`` and
+    ``shard_order``, the columns of ``docs`` with the block's words as
+    ``text``, and ``block``, ``pass``, ``n_words``.  A document that the mix
+    leaves out has no row, one that it takes twice has its blocks twice.  A
+    shard lies in one partition, in its own random order.  Ids may be null or
+    repeat: every row is held to its own text."""
+    rows = Scratch(docs.sparkSession, "mixed").put(docs.withColumn("__rid", F.monotonically_increasing_id()))
+    mixed = mix(rows, weights, seed, rid_col="__rid")
+    drawn = mixed.drawn().select(F.col("rid").alias("__rid"), F.col("drawn").alias("__drawn"))
+    words = F.split(F.btrim(F.col("text").cast("string"), F.lit(WHITE)), r"[\x20\x09-\x0D]+")
+
+    def cut(w):
+        piece = lambda b: F.array_join(F.slice(w, (b["first_word"] + 1).cast("int"), b["n_words"].cast("int")), " ")
+        return F.transform("__drawn", lambda b: F.struct(b["shard"].alias("shard"), b["shard_order"].alias("shard_order"), b["block"].alias("block"), b["pass"].alias("pass"), b["n_words"].alias("n_words"), piece(b).alias("text")))
+
+    # a text is split once, in an array of one, and its blocks are cut in place
+    cuts = rows.join(drawn, "__rid").withColumn("__cut", F.get(F.transform(F.array(words), cut), F.lit(0)))
+    cuts = cuts.select(*[c for c in docs.columns if c != "text"], F.explode("__cut").alias("__b"))
+    own = [F.col("__b.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    out = cuts.select("__b.shard", "__b.shard_order", *own, "__b.block", "__b.pass", "__b.n_words")
+    return out.repartition(mixed.shards, "shard").sortWithinPartitions("shard", "shard_order")

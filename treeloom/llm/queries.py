@@ -35,7 +35,7 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source", F.to_json("drawn").alias("drawn"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
