@@ -117,6 +117,66 @@ def test_leftover_groups_seen_in_several_flushes(spark, monkeypatch):
     assert got == want | {i + 1000: k for i, k in want.items()}
 
 
+def test_large_groups_are_refined(spark, monkeypatch):
+    """A passage that all texts share: larger subsets find the same links as
+    brute force, and the signatures stay linear in the number of texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "REFINE", 16)
+    made, extended = [], jaccard_join.Scheme.extended
+    rng = random.Random(5)
+    passage = " ".join(rng.choice(VOCAB) + str(i) for i in range(25))
+    texts = []
+    for _ in range(60):
+        own = [rng.choice(VOCAB) + str(rng.randrange(10**6)) for _ in range(20)]
+        texts.append(" ".join([passage, *own]))
+        if rng.random() < 0.3:
+            own[rng.randrange(20)] = "changed"
+            texts.append(" ".join([passage, *own]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_components({i: shingles(t) for i, t in enumerate(texts)})
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == want
+    scheme = jaccard_join.Scheme(75, 100)
+    for (_, sets), in [list(jaccard_join._sets(pa.array([t]))) for t in texts[:3]]:
+        sig = jaccard_join.mix(scheme.tokens(sets[0], *_spread(sets[0]), *scheme.plan(len(sets[0]))[0]))
+        k = scheme.plan(len(sets[0]))[0][0]
+        pairs = extended(scheme, sets[0], [(int(sig[0] & np.uint64(0xFFFFFFFF)), [])], 2)
+        assert len(pairs) == min(k, len(jaccard_join.mix(scheme.tokens(sets[0], *_spread(sets[0]), k + 1, *scheme.plan(len(sets[0]))[0][1:]))) - 1)
+        made.append(len(pairs))
+    assert made
+
+
+def _spread(own):
+    return jaccard_join.mix(own ^ np.uint64(0x5851F42D4C957F2D)), own >> np.uint64(32)
+
+
+def test_linking_pairs_share_subsets_of_every_size():
+    scheme = jaccard_join.Scheme(75, 100)
+    rng = np.random.default_rng(8)
+    for n in (12, 40, 90, 400):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)]))
+        shared = [np.intersect1d(x, y) for x, y in [(scheme.signatures([a])[0], scheme.signatures([b])[0])]][0]
+        held = [(int(x & np.uint64(0xFFFFFFFF)), []) for x in shared[:1]]
+        for level in (2, 3, 4):
+            x, y = scheme.extended(a, held if level == 2 else hx, level), scheme.extended(b, held if level == 2 else hy, level)
+            both = {g for g, _ in x} & {g for g, _ in y}
+            assert both, (n, level)
+            hx, hy = ([next(e for e in side if e[0] == min(both))] for side in (x, y))
+
+
+def test_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(40)]
+    near, far = [*base[:-1], "other"], [f"v{i}" for i in range(30)]
+    rows = [(None, base), (1, near), (2, far), (2, far), (2, base[:20]), (None, [f"u{i}" for i in range(9)]), (None, [f"u{i}" for i in range(9)]), (None, None), (None, None), (4, None)]
+    docs = spark.createDataFrame([(i, " ".join(t) if t else t, "x") for i, t in rows], "doc_id bigint, text string, fp string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(None, 36, 1), (1, 36, 1), (2, 26, 2), (2, 26, 2), (2, 16, 2), (None, 5, None), (None, 5, None), (None, 0, None), (None, 0, None), (4, 0, 4)], key=str)
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"], len((r["text"] or "").split())) for r in kept.collect()), key=str)
+    assert left == sorted([(1, 40), (2, 30), (2, 20), (None, 9), (None, 0), (None, 0), (4, 0)], key=str)
+
+
 def test_every_linking_pair_shares_a_signature():
     scheme = jaccard_join.Scheme(75, 100)
     rng = np.random.default_rng(3)
