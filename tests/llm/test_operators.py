@@ -427,3 +427,41 @@ def test_outliers(spark):
     rows = [(i, junk() if i % 40 == 0 else plain(), "en" if i % 2 else None, "big" if i % 10 else f"rare{i}") for i in range(600)]
     got = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
     assert {r["doc_id"] for r in got if not r["kept"]} == {i for i in range(600) if i % 40 == 0}
+
+
+def test_mcd_against_numpy(spark):
+    """One group: a fixed point of the concentration step, with no larger a
+    determinant than steps from many random subsets reach."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (400, quality_rules.DIM)) @ rng.normal(0, 1, (quality_rules.DIM, quality_rules.DIM))
+    x[:60] = x[:60] * 0.2 + 9
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], ["grp", *[f"x{i}" for i in range(quality_rules.DIM)]])
+    join = lambda df, small, on="grp", how="inner": df.join(small, on, how)
+    fit = quality_rules.estimate(rows, Scratch(spark, "t"), join).collect()
+    assert len(fit) == 1
+    centre = np.array([fit[0][f"c{i}"] for i in range(quality_rules.DIM)])
+    inverse = np.zeros((quality_rules.DIM, quality_rules.DIM))
+    for i, j in quality_rules.PAIRS:
+        inverse[i, j] = inverse[j, i] = fit[0][f"q{i}{j}"] * (1 if i == j else 0.5)
+    h = 300
+
+    def core(d2):
+        return np.argsort(d2, kind="stable")[:h]
+
+    def scatter(at):
+        return x[at].mean(0), np.cov(x[at].T, bias=True)
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    own = core(np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre))
+    assert np.allclose(scatter(own)[0], centre) and np.allclose(np.linalg.inv(scatter(own)[1]), inverse)
+    assert own.min() >= 60  # no outlier is in the core
+    least = np.inf
+    for _ in range(60):
+        at = rng.choice(400, quality_rules.DIM + 2, replace=False)
+        for _ in range(50):
+            at = core(distances(*scatter(at)))
+        least = min(least, np.linalg.slogdet(scatter(at)[1])[1])
+    units = 2 * np.log(quality_rules.SCALE_FLOOR).sum()
+    assert fit[0]["logdet"] + units <= least + 0.02  # deterministic starts may rest beside the very least

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2^64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # running sums of a slice take some 60 bytes a byte
 
 
 def _inverse(a: int) -> int:

@@ -45,25 +45,16 @@ def _count(batches):
     for batch in batches:
         for _, buf, offsets in text_slices(batch.column(0)):
             total += np.bincount(grams(Words(buf, offsets, SPACE, True))[0], minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-
-def _sum(batches):
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            total += np.frombuffer(x.as_buffer(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["bucket", "n"])
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of all n-grams; each task sends one vector of fixed size, and
-    these are summed in two rounds."""
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    summed = texts.mapInArrow(_count, "counts binary").repartition(parts).mapInArrow(_sum, "counts binary")
+    """Counts of all n-grams; each task sends at most one row a bucket, which
+    are summed by bucket."""
     total = np.zeros(BUCKETS, np.int64)
-    for r in summed.collect():  # at most ``parts`` vectors
-        total += np.frombuffer(r["counts"], np.int64)
+    for r in texts.mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        total[r["bucket"]] = r["n"]
     return total
 
 

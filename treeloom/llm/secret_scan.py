@@ -109,19 +109,21 @@ def scan_column(column, scope: int = SCOPE) -> list[list[tuple[str, int, int]]]:
     for _, buf, offsets in text_slices(column):
         raw, runs = buf.tobytes(), []
         low = raw.lower()
+        points = None  # code points before each byte, made once a run of texts
         for table, least in ((HEX, 32), (RUN, 20)):
             found, by = Words(buf, offsets, table, False), {}
-            for i in np.flatnonzero(found.end - found.start >= least):
-                s, e = int(found.start[i]), int(found.end[i])
-                doc = int(np.searchsorted(offsets, s, "right")) - 1
+            points = found.points() if points is None else points
+            at = np.flatnonzero(found.end - found.start >= least)
+            owner = np.searchsorted(offsets, found.start[at], "right") - 1
+            base = points[offsets[owner]]
+            for doc, s, e in zip(owner.tolist(), (points[found.start[at]] - base).tolist(), (points[found.end[at]] - base).tolist(), strict=True):
                 by.setdefault(doc, []).append((s, e))
             runs.append(by)
         for doc in range(len(offsets) - 1):
             a, b = int(offsets[doc]), int(offsets[doc + 1])
             own = low[a:b]
             if doc in runs[0] or doc in runs[1] or b"akia" in own or any(h in own for h in (*ASSIGN_HINTS, *NAME_HINTS, *ENDPOINT_HINTS)):
-                points = [[(len(raw[a:s].decode()), len(raw[a:e].decode())) for s, e in r.get(doc, [])] for r in runs]
-                out.append(spans_of(raw[a:b].decode(), own, points[0], points[1], scope))
+                out.append(spans_of(raw[a:b].decode(), own, runs[0].get(doc, []), runs[1].get(doc, []), scope))
             else:
                 out.append([])
     return out
