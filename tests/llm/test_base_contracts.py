@@ -97,21 +97,42 @@ def test_license_base(spark, docs, rows):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def brute_blocks(text, template):
+    words = license_scan.split_words(text or "")
+    label, body, telling, barred = template
+    tw = license_scan.split_words(body)
+    own, m, out = set(tw), len(set(tw)), []
+    for s in range(len(words)):
+        window = words[s : s + len(tw)]
+        held = own & set(window)
+        if words[s] in own and len(held) >= 0.8 * m - 1e-9 and set(telling.split()) <= set(window) and not set(barred.split()) & set(window):
+            last = max(s + k for k, w in enumerate(window) if w in own)
+            out.append((s, last, len(held)))
+    blocks, after = [], -1
+    while any(s > after for s, _, _ in out):
+        first = next(x for x in out if x[0] > after)
+        near = [x for x in out if first[0] <= x[0] <= first[1]]
+        blocks.append(max(near, key=lambda x: (x[2], -x[0])))
+        after = blocks[-1][1]
+    out = blocks
+    return {(label, a, b, n / m) for a, b, n in out}
+
+
 def test_license_blocks_are_complete(spark, docs, rows):
     """Every window of a template's length, by brute force."""
-    by = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
-    for i, t, *_ in rows:
-        words = license_scan.split_words(t or "")
-        if len(words) > 500:
-            continue
-        want = set()
-        for label, text in license_scan.TEMPLATES:
-            tw = license_scan.split_words(text)
-            m = len(set(tw))
-            best = max((len(set(tw) & set(words[s : s + len(tw)])) for s in range(len(words))), default=0)
-            if best >= 0.8 * m - 1e-9:
-                want.add((label, best / m))
-        assert {(m["template"], m["containment"]) for m in by[i]["matches"]} == want
+    notice = license_scan.TEMPLATES[0][1]
+    more = [(100 + k, t) for k, t in enumerate((
+        " filler ".join([notice] * 30), notice + notice, notice.lower().replace("free", "open"), "Released under the BSD License.", "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "the committee released the report under license", "Released under the MIT License. " * 3, "Licensed under CC BY-NC 4.0."))]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id bigint, text string"))).collect()}
+    for i, t in [(r[0], r[1]) for r in rows] + more:
+        if len(license_scan.split_words(t or "")) < 5000:
+            want = set().union(*(brute_blocks(t, x) for x in license_scan.TEMPLATES))
+            assert {(m["template"], m["first_word"], m["last_word"], m["containment"]) for m in got[i]["matches"]} == want, i
+    labels = {i - 100: got[i]["labels"] for i, _ in more}
+    assert sum(m["template"] == "gpl-notice" and m["containment"] == 1 for m in got[100]["matches"]) == 30 and "gpl-notice" in labels[0]
+    assert labels[3] == "" and labels[4] == "cc-by" and labels[5] == "" and labels[6] == "lgpl-line" and labels[7] == "" and "mit-line" in labels[8] and "cc-by-nc-line" in labels[9]
 
 
 def test_quality_base(spark, docs, rows):

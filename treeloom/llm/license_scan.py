@@ -7,7 +7,15 @@ by the prefix filter a match must hold one of the template's first
 m - ceil(threshold * m) + 1 words, so only windows around such places are
 looked at; the length filter asks for enough template words near the place;
 the positional filter moves the window over the places of template words only.
-Containment is then counted exactly.
+Containment is then counted exactly.  From the left, the first window that
+reaches the threshold and those that overlap it give one block, the window of
+most distinct template words (the first of equals); the next block starts after
+it.  So blocks do not overlap, copies in a row count each, and every window
+that reaches the threshold overlaps a reported block.
+
+Short templates share most words with other notices.  A block must therefore
+hold a template's telling words, and none of the words that name another
+licence: a rule on top of the similarity, and part of the join's definition.
 
 The base rules (phrases of consecutive words) stand beside it.
 """
@@ -17,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +45,18 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Public licence notices, by label.
+#: Public licence notices: label, text, telling words, words that rule it out.
 TEMPLATES = (
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache-line", "Licensed under the Apache License, Version 2.0."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("mit-line", "Released under the MIT License."),
-    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-line", "Licensed under CC BY-NC 4.0."),
+    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public", "lesser affero library"),
+    ("gpl-line", "This work is licensed under the GNU General Public License, version 3.", "gnu general public", "lesser affero library"),
+    ("lgpl-line", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public", "affero"),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache", ""),
+    ("apache-line", "Licensed under the Apache License, Version 2.0.", "apache", ""),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "permission granted restriction", ""),
+    ("mit-line", "Released under the MIT License.", "mit license", ""),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary forms", ""),
+    ("cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution", "sharealike share alike noncommercial non noderivatives noderivs"),
+    ("cc-by-nc-line", "Licensed under CC BY-NC 4.0.", "cc by nc", "nd sa"),
 )
 THRESHOLD = 0.8
 
@@ -60,14 +70,15 @@ class Templates:
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.phrases = [(split_words(p), label) for p, label in phrases]
-        self.templates = [(label, split_words(text)) for label, text in templates]
-        self.vocabulary = sorted({w for ws, _ in self.phrases for w in ws} | {w for _, ws in self.templates for w in ws})
+        self.templates = [(x[0], *(split_words(y) for y in (*x[1:], "", "")[:3])) for x in templates]
+        self.vocabulary = sorted({w for ws, _ in self.phrases for w in ws} | {w for x in self.templates for ws in x[1:] for w in ws})
         hashes = hash_words(self.vocabulary)
         order = np.argsort(hashes)
         self.keys, self.numbers = hashes[order], order
         self.number = {w: i for i, w in enumerate(self.vocabulary)}
         self.phrase_ids = [(np.array([self.number[w] for w in ws]), label) for ws, label in self.phrases]
-        self.sets = [(label, len(ws), np.array(sorted({self.number[w] for w in ws}))) for label, ws in self.templates]
+        ids = lambda ws: np.array(sorted({self.number[w] for w in ws}), np.int64)
+        self.sets = [(label, len(ws), ids(ws), ids(telling), ids(barred)) for label, ws, telling, barred in self.templates]
 
     def numbered(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(places, numbers) of the words that are in the vocabulary, by hash
@@ -81,20 +92,35 @@ class Templates:
         return places[same], numbers[same]
 
     def plan(self, counts: np.ndarray, threshold: float):
-        """Of each template: label, window, members, needed words and prefix
-        mask, with words ordered by ``counts``, rarest first."""
+        """The rules of each template, with words ordered by ``counts``, rarest
+        first."""
         out = []
-        for label, window, members in self.sets:
+        for label, window, members, telling, barred in self.sets:
             ranked = members[np.lexsort((members, counts[members]))]
             need = math.ceil(threshold * len(members) - 1e-9)
-            prefix = np.zeros(len(self.vocabulary), bool)
-            prefix[ranked[: len(members) - need + 1]] = True
-            held = np.zeros(len(self.vocabulary), bool)
-            held[members] = True
-            out.append((label, window, len(members), need, prefix, held))
+            masks = []
+            for some in (ranked[: len(members) - need + 1], members, telling, barred):
+                masks.append(np.zeros(len(self.vocabulary), bool))
+                masks[-1][some] = True
+            out.append(Rule(label, window, len(members), need, len(telling), *masks))
         return out
 
 
+class Rule(NamedTuple):
+    """``prefix``, ``held``, ``telling`` and ``barred`` are masks over the
+    vocabulary; ``told`` is the number of telling words."""
+
+    label: str
+    window: int
+    size: int
+    need: int
+    told: int
+    prefix: np.ndarray
+    held: np.ndarray
+    telling: np.ndarray
+    barred: np.ndarray
+
+
 def _count(templates: Templates):
     def run(batches):
         total = np.zeros(len(templates.vocabulary), np.int64)
@@ -107,22 +133,50 @@ def _count(templates: Templates):
     return run
 
 
-def best_window(places: np.ndarray, numbers: np.ndarray, window: int, need: int, prefix: np.ndarray, held: np.ndarray) -> tuple[int, int]:
-    """(most distinct template words in one window, its first word); (0, -1)
-    if none reaches ``need``.  ``places`` ascend within one document."""
-    mine = held[numbers]
+def blocks_of(places: np.ndarray, numbers: np.ndarray, rule: Rule) -> list[tuple[int, int, int]]:
+    """(first word, last word, most distinct template words in a window) of
+    every block.  ``places`` ascend within one document."""
+    mine = rule.held[numbers]
     at, who = places[mine], numbers[mine]
-    best, where = 0, -1
-    if len(at) < need:  # length filter
-        return best, where
-    reach = np.searchsorted(at, at + window)  # exclusive end of the window that starts at each place
-    rare = np.concatenate([[0], np.cumsum(prefix[who])])
-    starts = np.flatnonzero((reach - np.arange(len(at)) >= need) & (rare[reach] > rare[:-1]))
+    if len(at) < rule.need:  # length filter
+        return []
+    reach = np.searchsorted(at, at + rule.window)  # exclusive end of the window that starts at each place
+    rare = np.concatenate([[0], np.cumsum(rule.prefix[who])])
+    bad = places[rule.barred[numbers]]
+    free = np.searchsorted(bad, at) == np.searchsorted(bad, at + rule.window)
+    starts = np.flatnonzero((reach - np.arange(len(at)) >= rule.need) & (rare[reach] > rare[:-1]) & free)
+    found, counts, told, left, right = [], {}, 0, 0, 0
+    at_list, who_list, tells = at.tolist(), who.tolist(), rule.telling[who].tolist()
     for s in starts.tolist():  # positional filter: windows start at a template word
-        n = len(np.unique(who[s : reach[s]]))
-        if n > best:
-            best, where = n, int(at[s])
-    return (best, where) if best >= need else (0, -1)
+        if s >= right:
+            counts, told, left, right = {}, 0, s, s
+        for k in range(right, int(reach[s])):
+            counts[who_list[k]] = counts.get(who_list[k], 0) + 1
+            told += tells[k] and counts[who_list[k]] == 1
+        right = int(reach[s])
+        for k in range(left, s):
+            counts[who_list[k]] -= 1
+            if not counts[who_list[k]]:
+                del counts[who_list[k]]
+                told -= tells[k]
+        left = s
+        if len(counts) >= rule.need and told == rule.told:
+            found.append((at_list[s], at_list[right - 1], len(counts)))
+    return disjoint(found)
+
+
+def disjoint(windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Windows (first, last, n) by first -> the blocks among them."""
+    out, k = [], 0
+    while k < len(windows):
+        best, j = windows[k], k
+        while j < len(windows) and windows[j][0] <= windows[k][1]:
+            best = windows[j] if windows[j][2] > best[2] else best
+            j += 1
+        out.append(best)
+        while k < len(windows) and windows[k][0] <= best[1]:
+            k += 1
+    return out
 
 
 def _scan(templates: Templates, plan):
@@ -151,11 +205,10 @@ def _scan(templates: Templates, plan):
                     found, score = [], 0.0
                     if b > a:
                         own, who = places[a:b] - words.first[doc], numbers[a:b]
-                        for label, window, size, need, prefix, held in plan:
-                            n, at = best_window(own, who, window, need, prefix, held)
-                            if n:
-                                found.append({"template": label, "first_word": at, "containment": n / size})
-                                score = max(score, n / size)
+                        for rule in plan:
+                            for first, last, n in blocks_of(own, who, rule):
+                                found.append({"template": rule.label, "first_word": first, "last_word": last, "containment": n / rule.size})
+                                score = max(score, n / rule.size)
                     base = hits.get(doc, [])
                     rows["n_words"].append(int(words.count[doc]))
                     rows["n_base"].append(len(base))
@@ -165,7 +218,7 @@ def _scan(templates: Templates, plan):
                     rows["labels"].append(",".join(sorted({x for _, x in base} | {m["template"] for m in found})))
                     rows["score"].append(1.0 if base else score)
                     rows["matches"].append(found)
-            kind = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
+            kind = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("containment", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(rows[k], pa.int64()) for k in ("n_words", "n_base", "first", "last")], pa.array(rows["base"], pa.string()), pa.array(rows["labels"], pa.string()), pa.array(rows["score"], pa.float64()), pa.array(rows["matches"], kind)],
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"],
@@ -175,10 +228,11 @@ def _scan(templates: Templates, plan):
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: word count, base phrases and ``matches``, the
-    best block of every template that reaches the threshold.  A null or empty
+    """One row per input row: word count, base phrases and ``matches``, every
+    block (first and last word, best containment of a window in it) of every
+    template.  A null or empty
     text has no words, no labels and score 0; with base phrases the score is
-    1, else the best containment.  Of equal blocks the first counts.  Null ids
+    1, else the best containment.  Null ids
     stay null, repeated rows are scanned each; only the two named columns are
     read."""
     known = Templates(templates, phrases)
@@ -188,5 +242,5 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phr
     counts = np.zeros(len(known.vocabulary), np.int64)
     for r in counted:
         counts[r["number"]] = r["n"]
-    schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<template:string,first_word:bigint,containment:double>>"
+    schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<template:string,first_word:bigint,last_word:bigint,containment:double>>"
     return picked.mapInArrow(_scan(known, known.plan(counts, threshold)), schema)
