@@ -380,7 +380,9 @@ def test_token_counts(spark):
     from treeloom.llm import token_counts
 
     try:
-        encoder = token_counts.Encoder(token_counts.VOCABULARY)
+        with open(token_counts.VOCABULARY, "rb") as f:
+            data = f.read()
+        encoder = token_counts.Encoder(data)
     except FileNotFoundError:
         pytest.skip("no vocabulary file")
     texts = [None, "", "a", "\n", "one\n\n\ntwo  three\n", "no newline", "é😀\nü ñ\n" * 3, "x" * 500 + "\n" + "y z\n" * 50]
@@ -396,6 +398,21 @@ def test_token_counts(spark):
         assert at == len(raw) and r["section_tokens"] == want and r["n_tokens"] == sum(want)
     ends, bounds = np.array([3, 9, 12]), np.array([4, 10, 12])
     assert [list(token_counts.attribute(ends, bounds, rule)[0]) for rule in token_counts.RULES] == [[2, 1, 0], [1, 1, 1], [1, 1, 1]]
+    assert token_counts.count_tokens(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    # long runs of white space: the same tokens as the pattern gives, and no crash
+    short = token_counts.Encoder(data, long=3)
+    for t in ("a   b", "   ", "a    ", "    b", " \n \n\tx\u00a0\u2003\u3000y", "a   \n   b   \u00a0  é", "\n\n\n\n1", "x" + " " * 50 + "\x1c\x1dy"):
+        assert short.ids(t) == encoder.encoding.encode_ordinary(t), t
+    for t in (" " * 10**6 + "a", "\n" * 10**6, "b" + "\t " * 500_000 + " c", "w" * 10**6):
+        assert encoder.ends(t)[-1] == len(t)
+    rows = spark.createDataFrame([(1, "one two", None, "three"), (2, None, None, None)], "doc_id bigint, title string, body string, tail string")
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(rows, fields=("title", "body", "tail")).collect()}
+    whole = encoder.encoding.encode_ordinary("one two\n\nthree")
+    assert got[1]["n_tokens"] == len(whole) == sum(got[1]["section_tokens"]) and len(got[1]["section_tokens"]) == 3 and got[1]["section_tokens"][2] == 1
+    assert got[2]["n_sections"] == 3 and got[2]["n_tokens"] == len(encoder.encoding.encode_ordinary("\n\n"))
+    rows = spark.createDataFrame([(1, "éa bc def", [3, 99, 1]), (2, "x y", None), (3, None, [1])], "doc_id bigint, text string, cuts array<int>")
+    got = {r["doc_id"]: r["section_tokens"] for r in token_counts.count_tokens(rows, ends_col="cuts").collect()}
+    assert len(got[1]) == 3 and sum(got[1]) == len(encoder.encoding.encode_ordinary("éa bc def")) and got[2] == [2] and got[3] == []
 
 
 def test_toxicity(spark):
