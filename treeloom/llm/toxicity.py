@@ -38,6 +38,7 @@ SAMPLE = 8_000  # labelled rows to fit on
 SAMPLE_DOC_WORDS = 2_000  # longer texts are not fitted on (all are scored)
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 12
 EPOCHS, SEED = 8, 7
+PRIOR = 20  # positives that the cut of all languages counts for in each
 
 #: Function words by language, to tell a text's language from itself.
 FUNCTION_WORDS = {
@@ -190,8 +191,9 @@ class Model:
 
     def calibrate(self, logits: np.ndarray, langs: np.ndarray, labels: np.ndarray) -> None:
         """Shifts each language's logits so that the cut of best F1 scores
-        ``CUT``; languages with few rows or few positives take all rows' cut,
-        and cuts lie midway between neighbouring logits."""
+        ``CUT``, be it above or below that of all rows.  A language's own cut
+        is drawn to the common one as if that had ``PRIOR`` positives; cuts
+        lie midway between neighbouring logits."""
 
         def best(x, y):
             order = np.argsort(-x, kind="stable")
@@ -204,10 +206,9 @@ class Model:
         common = best(logits, labels) if labels.sum() else float(logits.max(initial=0.0))
         for k in range(len(LANGS)):
             own = langs == k
-            enough = own.sum() >= 100 and labels[own].sum() >= 20
-            cut = best(logits[own], labels[own]) if enough else common
-            # a language whose positives cannot be told apart keeps the stricter cut
-            self.shift[k] = want - max(cut, common) if enough else want - common
+            weight = labels[own].sum() / (labels[own].sum() + PRIOR)
+            cut = weight * best(logits[own], labels[own]) + (1 - weight) * common if weight else common
+            self.shift[k] = want - cut
 
 
 def score_texts(model: Model, column, table) -> np.ndarray:
