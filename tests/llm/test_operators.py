@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long
 texts, ties, repeated rows and clashing column names."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -262,6 +263,74 @@ def test_mix_shards(spark, docs):
     assert words.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == plan.blocks.agg(F.sum("n_words")).first()[0]
 
 
+def test_mix_shards_follow_the_tree(spark, docs, monkeypatch):
+    """Another seed gives other shards and the same quotas; pools of small
+    sources keep every block and the even shards."""
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+
+    def of(seed):
+        plan = mixing.mix(own, seed=seed)
+        rows = plan.blocks.collect()
+        per = defaultdict(int)
+        for r in rows:
+            per[r["source"]] += r["n_words"]
+        counts = defaultdict(int)
+        for r in rows:
+            counts[r["source"], r["shard"]] += 1
+        return {(r["rid"], r["block"], r["pass"]): r["shard"] for r in rows}, dict(per), counts, plan.shards
+
+    a, quotas_a, counts_a, shards = of(1)
+    b, quotas_b, counts_b, _ = of(2)
+    assert quotas_a == quotas_b and counts_a != counts_b
+    assert any(a[k] != b[k] for k in a.keys() & b.keys())
+    sizes = defaultdict(int)
+    for (s, _), n in counts_a.items():
+        sizes[s] += n
+    plan = mixing.split_tree([sizes[s] for s in sorted(sizes, key=lambda s: "-" if s is None else "=" + s)], shards, 1)
+    for i, s in enumerate(sorted(sizes, key=lambda s: "-" if s is None else "=" + s)):
+        assert [counts_a.get((s, k), 0) for k in range(shards)] == [t[i] for t in plan]
+    monkeypatch.setattr(mixing, "PLAN", 16)
+    monkeypatch.setattr(mixing, "LEAST_POOLS", 2)
+    many = own.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 9).cast("string")))
+    pooled = mixing.mix(many)
+    shard_sizes = [r["n"] for r in pooled.blocks.groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert pooled.shards == 8 and max(shard_sizes) - min(shard_sizes) <= 1
+    assert pooled.blocks.count() == pooled.blocks.select("rid", "block", "pass").distinct().count()
+
+
+def test_hypergeometric_is_exact():
+    class Grid:
+        def __init__(self, u):
+            self.u = u
+
+        def random(self):
+            return self.u
+
+    for good, all_, draws in ((3, 10, 4), (20, 50, 25), (1, 9, 8), (400, 1000, 30)):
+        n, counts = 20_000, defaultdict(int)
+        for i in range(n):
+            counts[mixing._hypergeometric(Grid((i + 0.5) / n), good, all_, draws)] += 1
+        for k in range(max(0, draws - all_ + good), min(good, draws) + 1):
+            want = math.comb(good, k) * math.comb(all_ - good, draws - k) / math.comb(all_, draws)
+            assert abs(counts[k] / n - want) <= 1.5 / n
+    rng = np.random.default_rng(1)
+    for good, all_, draws in ((10**6, 3 * 10**6, 10**6), (10**9, 10**10, 5 * 10**9)):
+        got = [mixing._hypergeometric(rng, good, all_, draws) for _ in range(40)]
+        sd = math.sqrt(draws * good / all_ * (1 - good / all_) * (all_ - draws) / (all_ - 1))
+        assert abs(np.mean(got) - draws * good / all_) < 4 * sd / math.sqrt(40) and 0.6 * sd < np.std(got) < 1.5 * sd
+
+
+def test_shard_cells():
+    rng = random.Random(3)
+    for _ in range(50):
+        shards, quota = rng.randint(1, 9), rng.randint(1, 60)
+        ends = sorted(rng.randint(0, quota) for _ in range(shards - 1)) + [quota]
+        cells, width = {c: (k, e) for c, k, e in mixing.shard_cells(quota, ends)}, mixing.cell_width(quota, shards)
+        for i in range(quota):
+            k, e = cells[i // width]
+            assert k + sum(x <= i for x in e) == sum(x <= i for x in ends)
+
+
 def test_mixed_texts(spark, docs, rows):
     """The drawn blocks hold every row's own words, null and repeated ids included."""
     odd = docs.select("doc_id", "text", "source", F.lit("en").alias("lang"))
@@ -289,6 +358,9 @@ def test_mixed_texts(spark, docs, rows):
     at = [(r["shard"], r["shard_order"]) for p in mixing.mixed_texts(odd).rdd.glom().collect() for r in p]
     assert all(x <= y for x, y in zip(at, at[1:]) if x[0] == y[0])
     assert mixing.mixed_texts(odd.limit(0)).count() == 0
+    clash = mixing.mixed_texts(odd.withColumn("shard", F.lit(1)).withColumn("target", F.lit(2)).withColumn("Block", F.lit(3)))
+    assert clash.columns == ["mix_shard", "shard_order", *odd.columns, "shard", "target", "Block", "mix_block", "pass", "n_words"]
+    assert clash.count() == len(got)
 
 
 def test_splitting_tree():
