@@ -211,14 +211,16 @@ def test_components_of_long_paths(spark):
 
 
 def test_decontamination(spark, docs, rows):
-    items = [(1, edited(" ".join((rows[20][1] or text(30)).split()[:30]), 1)), (2, text(25)), (3, None), (4, "one"), (5, "")]
+    items = [(1, edited(" ".join((rows[20][1] or text(30)).split()[:30]), 1)), (2, text(25)), (3, None), (4, "one"), (5, ""), (6, "Word"), (7, " ".join((rows[20][1] or text(30)).split()[3:6])), (8, " ".join((rows[20][1] or text(30)).split()[7:11]))]
     items += [(10 + k, " ".join(t.split()[10:45])) for k, (_, t, *_) in enumerate(r for r in rows if r[1] and len(r[1].split()) > 100) if k % 9 == 0]
     table = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id bigint, text string, doc_id string")
     want = defaultdict(int)
     for i, t in items:
         s = shingles(t, False)
+        k = len(next(iter(s), ()))
         for d, u, *_ in rows:
-            n = len(s & shingles(u, False))
+            w = re.findall(r"[^\x20\x09-\x0D]+", (u or "").lower())
+            n = len(s & {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}) if k else 0
             if s and 100 * n >= 75 * len(s):
                 want[d, i] = max(n, want[d, i])
     got = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in decontaminate.matches(docs, table).collect()}

@@ -35,8 +35,8 @@ WEIGHTS = (3, 1, 2)
 SHARE_NUM, SHARE_DEN = 3, 2  # all targets together, as a share of all words
 MOST = 2  # times its size, what a source or document gives at most
 BLOCK = 256
-CELL = 20_000  # blocks that one task orders
-SHARD_BLOCKS = 200_000
+CELL = 5_000  # blocks that one task orders
+SHARD_BLOCKS = 20_000
 LEAST_SHARDS = 8
 PLAN = 1 << 22  # numbers in the tree's leaves
 LEAST_POOLS = 8
