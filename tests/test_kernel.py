@@ -14,6 +14,7 @@ def tokens(text):
     return " ".join(r["token"] for r in analyse(text)["nodes"])
 
 
+#: Published token streams.
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -77,6 +78,59 @@ def test_trace_and_format():
     assert strip_delimiters("$$ a $$") == "a" and strip_delimiters("$$") == "$$"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("sin(x)^2 + cos(x)^2", "cos(x)**2 + sin(x)**2"), ("(x+1)^2", "x**2 + 2*x + 1"), ("(x^2 - 1)/(x - 1)", None), ("x*x + 2*x - x", "x**2 + x"),
+        ("a*(b + c)", "a*b + a*c"), ("(x+y)*(x-y)", "x**2 - (y**2)"), ("2*(x = 1)", None), ("x/x", "1"), ("sin((x+1)^2)", "sin(x**2 + 2*x + 1)"),
+    ],
+)
+def test_expand_is_not_simplify(text, want):
+    got = analyse(text, do_simplify=False)
+    if want is not None:
+        assert got["canonical"] == want and got["transformations"][1:2] == ["expand"]
+    if got["success"]:
+        assert equal_texts(text, text)
+    if text.startswith("(x^2"):
+        assert "(x - 1)" in got["canonical"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("oo", "CONST_INF"), ("-oo", "CONST_NEG_INF"), ("oo - oo", "CONST_NAN"), ("0*oo", "CONST_NAN"), ("oo + 3", "CONST_INF"), ("-2*oo", "CONST_NEG_INF"), ("1/oo", "CONST_0"), ("oo^2", "CONST_INF"),
+        ("exp(-oo)", "CONST_0"), ("(-oo)^3", "CONST_NEG_INF"), ("x + oo", "OP_ADD VAR_X CONST_INF"), ("(oo - oo) + x", "CONST_NAN"), ("2^oo", "CONST_INF"),
+    ],
+)
+def test_infinities(text, want):
+    assert tokens(text) == want
+
+
+def test_factor_with_large_roots():
+    assert analyse("x^2 - 30026*x + 225390000 + 169", do_factor=True)["success"]
+    assert analyse("(x - 10007)*(x - 10009)", do_factor=True)["canonical"] == "(x - 10007)*(x - 10009)"
+    assert analyse("(x - 1000003)*(x + 2)", do_factor=True)["canonical"] in ("(x + 2)*(x - 1000003)", "(x - 1000003)*(x + 2)")
+
+
+def test_growth_by_hand():
+    for text, seed, want in (("a f(x) + 2 then", (2, 4), "f(x) +"), ("sin (x + (y)) z", (0, 5), "sin (x + (y))"), ("12 - sin(x] y", (5, 9), "12 - sin(x]"), ("x^2)", (0, 3), "x^2"), ("x^2 = 3, y", (0, 3), "x^2 = 3,")):
+        s, e = grow(text, *seed, False)
+        assert text[s:e].strip() == want, text
+
+
+def test_lexing_is_about_linear():
+    import time
+
+    def cost(n):
+        text = "$a$ and $$b$$ then x^2 + 1 or sin(y) " * n
+        began = time.perf_counter()
+        assert len(lex(text)) >= 2 * n
+        return time.perf_counter() - began
+
+    cost(50)
+    assert cost(4000) < 40 * cost(400) + 0.5
+
+
 def test_depth_is_cut():
     deep = "sin(" * 25 + "x" + ")" * 25
     rows = analyse(deep)["nodes"]

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark import cloudpickle
 
-from treeloom.kernel.normal import Undefined, equivalent, factor, simplify
+from treeloom.kernel.normal import Undefined, equivalent, expand, factor, settled, simplify
 from treeloom.kernel.parse import MINUS, add, divide, mul, parse
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,6 +24,7 @@ FUNCTION_TOKENS = {
     "floor": "FUNC_FLOOR", "ceiling": "FUNC_CEIL", "re": "FUNC_RE", "im": "FUNC_IM",
     "Derivative": "OP_DERIV", "Integral": "OP_INT", "Limit": "OP_LIMIT", "Sum": "OP_SUM", "Product": "OP_PROD",
 }
+#: Relations and their tokens.
 RELATION_TOKENS = {"Eq": "OP_EQ", "Ne": "OP_NEQ", "Lt": "OP_LT", "Gt": "OP_GT", "Le": "OP_LE", "Ge": "OP_GE"}
 
 #: (token, kids, confidence, own name): the own name keeps what a token folds.
@@ -127,7 +128,9 @@ def analyse(text: str | None, do_simplify: bool = True, do_expand: bool = True,
     if tree is None:
         return {"original": source, "canonical": "PARSE_ERROR", "input_format": None, "transformations": [], "warnings": warnings, "success": False, "raw_height": 0, "nodes": []}
     trace, raw = [f"parse_{form}"], tree
-    for name, wanted, step in (("expand", do_expand, simplify), ("simplify", do_simplify, simplify), ("factor", do_factor, factor)):
+    tree = settled(tree)
+    # the normal form is expanded, so where it is wanted it is the one step
+    for name, wanted, step in (("expand", do_expand, simplify if do_simplify else expand), ("simplify", do_simplify, simplify), ("factor", do_factor, factor)):
         if wanted:
             try:
                 tree = step(tree)
@@ -144,7 +147,7 @@ def equal_texts(a: str | None, b: str | None) -> bool:
     if x is None or y is None:
         return False
     try:
-        return equivalent(x, y)
+        return equivalent(settled(x), settled(y))
     except (Undefined, OverflowError, RecursionError, ZeroDivisionError):
         return False
 
@@ -200,7 +203,7 @@ def round_trip(text: str | None, rows: list | None) -> dict:
         return {"is_valid": False, "reconstructed": None, "error": "could not parse the original"}
     try:
         built = tree_from(rows or [])
-        same = equivalent(tree, built)
+        same = equivalent(settled(tree), built)
         return {"is_valid": same, "reconstructed": text_of(built), "error": None if same else "the difference is not zero"}
     except (Undefined, OverflowError, RecursionError, ZeroDivisionError, ValueError, IndexError, TypeError) as e:
         return {"is_valid": False, "reconstructed": None, "error": f"{type(e).__name__}: {e}"}

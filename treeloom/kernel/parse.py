@@ -35,6 +35,7 @@ HALF = ("num", Fraction(1, 2))
 
 #: Single letters that are symbols even before a bracket.
 SYMBOLS = ("x", "y", "z", "t", "n", "k", "a", "b", "c", "m", "r", "s", "u", "v", "w", "p", "q")
+#: Names of constants.
 CONSTANTS = {"e": ("const", "E"), "E": ("const", "E"), "pi": ("const", "PI"), "i": ("const", "I"), "I": ("const", "I"), "oo": ("const", "INF")}
 GREEK = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "rho", "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega")
 FUNCTIONS = {
@@ -530,6 +531,7 @@ LATEX_MARKERS = (
     "\\leq", "\\geq", "\\neq", "\\in", "\\subset",
     "{",
 )
+#: Delimiters that enclose one expression.
 DELIMITERS = (("$$", "$$"), ("$", "$"), ("\\[", "\\]"), ("\\(", "\\)"))
 
 
