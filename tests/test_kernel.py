@@ -113,7 +113,7 @@ def test_factor_with_large_roots():
 
 
 def test_growth_by_hand():
-    for text, seed, want in (("a f(x) + 2 then", (2, 4), "f(x) +"), ("sin (x + (y)) z", (0, 5), "sin (x + (y))"), ("12 - sin(x] y", (5, 9), "12 - sin(x]"), ("x^2)", (0, 3), "x^2"), ("x^2 = 3, y", (0, 3), "x^2 = 3,")):
+    for text, seed, want in (("a f(x) + 2 then", (2, 4), "f(x) +"), ("sin (x + (y)) z", (0, 5), "sin (x + (y))"), ("12 - sin(x] y", (5, 9), "12 - sin(x]"), ("x^2)", (0, 3), "x^2"), ("x^2 = 3, y", (0, 3), "x^2 =")):
         s, e = grow(text, *seed, False)
         assert text[s:e].strip() == want, text
 
