@@ -158,3 +158,95 @@ def test_suites(spark):
     assert {r["tokenizer"]: r["n"] for r in M.summary_means(stats, False).collect()} == {"structural": 2, "char": 2}
     with pytest.raises(ValueError):
         suites.suite(spark, "unheard")
+
+
+def test_stream_ids_and_replay(spark, tmp_path):
+    """Ids of batches do not clash, and a batch written again gives the same."""
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"$new_{k} + {3000 + k}$\n$x$ and words\n$@@$\n")
+    out = str(tmp_path / "out")
+
+    def run(chk):
+        stream = streaming.read_lines(spark, str(tmp_path / "in"), per_trigger=1)
+        streaming.encode_stream(spark, stream, out, str(tmp_path / chk), emit_scopes=False).awaitTermination(300)
+        rows = spark.read.parquet(f"{out}/tokens").collect()
+        assert len({r["doc_id"] for r in rows}) == len(rows) == 9
+        assert sum(len(r["warnings"]) > 0 for r in rows) == 3
+        return sorted((r["doc_id"], r["tokens"], r["input_ids"]) for r in rows), {r["token"]: r["id"] for r in streaming.current_vocabulary(spark, out).collect()}
+
+    first, names = run("a")
+    assert sorted(names[t] for t in names if names[t] >= 1129) == list(range(1129, 1135))
+    assert run("b") == (first, names)  # every batch is written anew over its old self
+    assert spark.read.parquet(f"{out}/metadata").where("token = 'VAR_X'").count() == 3
+
+
+def test_text_tokenizer_and_pretrained(spark, docs, tmp_path):
+    pieces, merges = bpe.train(spark.createDataFrame([("be given here here no math",)], "text string"), 40)
+    text = bpe.TextTokenizer(pieces, merges)
+    run = encode.encode(docs, stages=encode.Stages(text=text))
+    rows = {r["doc_id"]: r for r in run.documents().collect()}
+    base = run.vocabulary.count()
+    assert [(t, i) for t, i in zip(rows[4]["tokens"], rows[4]["input_ids"]) if t in pieces] and rows[4]["input_ids"] == [base + (pieces.index(t) if t in pieces else pieces.index("[UNK]")) for t in rows[4]["tokens"]]
+    encode.save_pretrained(run.vocabulary, str(tmp_path / "saved"), text)
+    vocabulary, again, config = encode.from_pretrained(spark, str(tmp_path / "saved"))
+    assert config["model_max_length"] == 2048 and config["mask_token"] == "[MASK]" and again.vocabulary() == pieces and again.merges == text.merges
+    loaded = {r["doc_id"]: r["input_ids"] for r in encode.encode(docs, vocabulary=vocabulary, grow_vocabulary=False, stages=encode.Stages(text=again)).documents().collect()}
+    assert loaded == {i: r["input_ids"] for i, r in rows.items()}
+    merged = {r["token"]: r["id"] for r in encode.get_vocab(run.vocabulary, run.text_vocabulary()).collect()}
+    assert merged["[UNK]"] == 1 and merged[pieces[-1]] >= base
+    encode.save_pretrained(run.vocabulary, str(tmp_path / "bare"))
+    assert encode.from_pretrained(spark, str(tmp_path / "bare"))[1] is None
+
+
+def test_stages_can_be_replaced(spark):
+    docs = spark.createDataFrame([(1, "anything")], "doc_id bigint, text string")
+    lex = lambda d: d.select("doc_id", F.lit(0).alias("span_idx"), F.lit("MATH").alias("span_type"), F.lit("x + 1").alias("content"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(1.0).alias("confidence"))
+    run = encode.encode(docs, stages=encode.Stages(lex=lex, serialize=lambda r, b, s: encode.math_tokens(r, False, False)))
+    assert run.documents().first()["tokens"] == ["OP_ADD", "VAR_X", "CONST_1"]
+
+
+def test_whole_records(spark, docs):
+    run = encode.encode(docs)
+    rows = {r["doc_id"]: json.loads(r["json"]) for r in encode.to_json(run).collect()}
+    assert set(rows[0]) == {"tokens", "input_ids", "metadata", "math_sexps", "warnings"}
+    assert [m["token"] for m in rows[0]["metadata"]][1] == "FUNC_SIN" and rows[0]["math_sexps"] == ["(FUNC_SIN (OP_POW VAR_X CONST_2))"]
+    assert rows[3]["warnings"] and rows[3]["math_sexps"][-1] == "[UNK]" and rows[1]["tokens"] == [] and rows[1]["metadata"] == []
+    bare = encode.full_records(encode.encode(docs, include_metadata=False))
+    assert bare.where("size(metadata) > 0").count() == 0
+
+
+def test_tree_texts(spark):
+    raw = parsing.nodes(parsing.parsed(spark.createDataFrame([(1, 0, "sin(x^2) + y"), (2, 0, "x")], "doc_id bigint, span_idx int, expr string"), "expr"), "doc_id", "span_idx")
+    assert {r["doc_id"]: r["repr"] for r in serialize.tree_repr(raw).collect()} == {1: "OP_ADD(VAR_Y, FUNC_SIN(OP_POW(VAR_X, CONST_2)))", 2: "VAR_X"}
+    found = {r["doc_id"]: json.loads(r["json"]) for r in serialize.tree_json(raw).collect()}
+    assert found[2] == {"token": "VAR_X", "node_id": 0, "parent_id": -1, "depth": 0, "is_leaf": True, "subtree_size": 1, "confidence": 1.0, "children": []}
+    assert [k["token"] for k in found[1]["children"]] == ["VAR_Y", "FUNC_SIN"] and found[1]["children"][1]["children"][0]["children"][1]["token"] == "CONST_2"
+
+
+def test_results_and_baselines(spark, tmp_path):
+    from treeloom.plans import suites
+
+    rows = suites.suite(spark, "probability", "set_theory")
+    stats = suites.compare(rows).withColumnRenamed("expr", "expression")
+    sources.save_results(rows.select(F.col("expr").alias("expression"), "category"), stats, str(tmp_path / "r"))
+    assert sources.jsonl_results(spark, str(tmp_path / "r" / "results.jsonl")).count() == 4
+    saved = spark.read.json(str(tmp_path / "r" / "summary.json")).first()
+    assert len(saved["means"]) == 2 and saved["timestamp"].endswith("Z")
+    assert spark.read.json(str(tmp_path / "r" / "per_record.jsonl")).count() == 4
+    with pytest.warns(UserWarning):
+        assert suites.sentencepiece_pieces(str(tmp_path / "none.model")) is M.characters
+    (tmp_path / "d.json").write_text(json.dumps({"expressions": ["x + 1", "sin(x)"], "equivalent_pairs": [["x + 1", "1 + x"]], "rewriting_groups": [["x", "y"]]}))
+    table = {r["name"]: (r["structural"], r["baseline"]) for r in suites.baseline_comparison(spark, str(tmp_path / "d.json")).collect()}
+    assert table["scr_chars"][1] == 1.0 and table["ccs"][0] == 1.0
+    with pytest.raises(ValueError):
+        suites.benchmark(spark, str(tmp_path / "d.json"), tokenizer="unheard")
+
+
+def test_large_dense_mask(spark):
+    n = 5000
+    tokens = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(0).alias("span_idx"), F.col("id").cast("int").alias("position"))
+    edges = spark.createDataFrame([(1, 0, 4999, 0), (1, 0, 4999, 4999), (1, 0, 7, 3)], "doc_id int, span_idx int, row int, col int")
+    rows = structure.dense_rows(edges, tokens)
+    assert rows.count() == n and rows.where(F.size("mask") != n).count() == 0
+    assert {r["row"]: [i for i, x in enumerate(r["mask"]) if x] for r in rows.where("array_contains(mask, 1)").collect()} == {4999: [0, 4999], 7: [3]}

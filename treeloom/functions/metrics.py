@@ -170,3 +170,9 @@ def improvement(wide: DataFrame, own: str, other: str, when_absent: float | None
     """own / other; ``when_absent`` where other is null or zero."""
     ratio = F.try_divide(F.col(own), F.nullif(F.col(other), F.lit(0.0)))
     return wide.withColumn(f"{own}_vs_{other}", ratio if when_absent is None else F.coalesce(ratio, F.lit(when_absent)))
+
+
+def shown_means(stats: DataFrame, column: str) -> DataFrame:
+    """(tokenizer, mean): of the tokenizers whose mean is above zero, which
+    are the ones that a chart shows."""
+    return stats.groupBy("tokenizer").agg(mean(column).alias("mean")).where("mean > 0")

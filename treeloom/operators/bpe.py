@@ -92,3 +92,16 @@ def tokenizer(merges: list[tuple[str, str]]):
         return pa.array([[p for w in pattern.findall(t.as_py() or "") for p in pieces(w)] for t in text], pa.list_(pa.string()))
 
     return run
+
+
+class TextTokenizer:
+    """Pieces and merges as the text mode of ``encode``."""
+
+    def __init__(self, pieces: list[str], merges: list[tuple[str, str]]):
+        self._pieces, self.merges = list(pieces), [tuple(m) for m in merges]
+
+    def vocabulary(self) -> list[str]:
+        return self._pieces
+
+    def pieces(self, text):
+        return tokenizer(self.merges)(text)

@@ -61,8 +61,11 @@ def register_sql(spark) -> None:
 
 
 def parsed(exprs: DataFrame, expr: str = "expr", **options) -> DataFrame:
-    """``exprs`` with a ``record`` for each; equal texts are parsed once."""
-    distinct = exprs.select(F.col(expr).alias("__expr")).distinct()
+    """``exprs`` with a ``record`` for each; equal texts are parsed once, in as
+    many tasks as the session shuffles to (short texts would else be put into
+    one, as their bytes are few and their parsing is not)."""
+    tasks = int(exprs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = exprs.select(F.col(expr).alias("__expr")).distinct().repartition(tasks, "__expr")
     records = distinct.withColumn("record", expr_record(**options)(F.col("__expr")))
     return exprs.join(records, exprs[expr].eqNullSafe(records["__expr"])).drop("__expr")
 

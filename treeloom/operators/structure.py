@@ -25,7 +25,9 @@ def metadata(tokens: DataFrame, paths: DataFrame, vocabulary: DataFrame, keys=KE
     inner = tokens.where("node_id >= 0")
     kids = inner.where("parent_id >= 0").groupBy(*keys, F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node_id"))), lambda x: x["node_id"]).alias("children_ids"))
     up = inner.select(*keys, F.col("node_id").alias("parent_id"), F.col("token").alias("parent_token"))
-    known = F.broadcast(vocabulary.select("token", F.col("id").alias("token_id")))  # fixed size, plus dynamic names
+    known = vocabulary.select("token", F.col("id").alias("token_id"))
+    if vocabulary.count() <= 1_000_000:  # fixed size, plus dynamic names
+        known = F.broadcast(known)
     siblings = Window.partitionBy(*keys, "parent_id")
     real = (F.col("node_id") >= 0) & (F.col("parent_id") >= 0)
     out = tokens.withColumn("sibling_count", F.when(real, F.sum(real.cast("int")).over(siblings)).otherwise(0).cast("int"))
@@ -73,10 +75,21 @@ def mask_edges(tokens: DataFrame, keys=KEYS) -> DataFrame:
     return out
 
 
-def dense_mask(edges: DataFrame, tokens: DataFrame, keys=KEYS, most: int = 4096) -> DataFrame:
-    """(keys, mask): n rows of n zeros and ones, for spans of up to ``most``
-    tokens (the size of a dense mask grows with its square)."""
-    sizes = tokens.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).where(F.col("n") <= most)
-    by = edges.groupBy(*keys).agg(F.collect_set(F.col("row") * F.lit(most) + F.col("col")).alias("cells"))
-    cell = lambda i: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.array_contains("cells", i * F.lit(most) + j).cast("int"))
-    return sizes.join(by, list(keys), "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<int>"))).select(*keys, F.transform(F.sequence(F.lit(0), F.col("n") - 1), cell).alias("mask"))
+def dense_rows(edges: DataFrame, tokens: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, row, mask): one row a token, with a zero or one for each token of
+    its span.  A dense mask grows with the square of its span; by rows, no
+    single value does."""
+    sizes = tokens.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    by = edges.groupBy(*keys, "row").agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    rows = tokens.select(*keys, F.col("position").alias("row")).join(sizes, list(keys)).join(by, [*keys, "row"], "left")
+    # runs of zeros between the ones
+    none = F.array().cast("array<int>")
+    gaps = F.transform(F.coalesce("cols", none), lambda c, i: F.concat(F.array_repeat(F.lit(0), c - F.coalesce(F.get("cols", i - 1), F.lit(-1)) - 1), F.array(F.lit(1))))
+    tail = F.array_repeat(F.lit(0), F.col("n") - 1 - F.coalesce(F.try_element_at("cols", F.lit(-1)), F.lit(-1)))
+    return rows.select(*keys, "row", F.concat(F.flatten(gaps), tail).alias("mask"))
+
+
+def dense_mask(edges: DataFrame, tokens: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, mask): n rows of n zeros and ones, of every span."""
+    rows = F.array_sort(F.collect_list(F.struct("row", "mask")))
+    return dense_rows(edges, tokens, keys).groupBy(*keys).agg(F.transform(rows, lambda r: r["mask"]).alias("mask"))

@@ -15,25 +15,30 @@ KEYS = ("doc_id", "span_idx")
 
 def with_sizes(nodes: DataFrame, keys=KEYS) -> DataFrame:
     """``subtree_size``, ``height``, ``num_children`` and ``is_leaf`` from
-    parents and depths: in preorder a subtree ends before the next node that is
-    no deeper, which is the only thing looked for."""
+    paths: a node counts for every prefix of its own path, which are its
+    ancestors and itself, so rows grow with nodes times depth."""
     base = nodes.drop("subtree_size", "height", "num_children", "is_leaf")
-    up = base.select(*keys, F.col("node_id").alias("a_id"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"))
-    below = base.select(*keys, "depth", "path").join(up, list(keys)).where((F.col("path") == F.col("a_path")) | F.col("path").startswith(F.concat("a_path", F.lit("."))))
-    sizes = below.groupBy(*keys, F.col("a_id").alias("node_id")).agg(F.count("*").cast("int").alias("subtree_size"), (F.max("depth") - F.first("a_depth")).cast("int").alias("height"))
+    steps = F.split("path", r"\.")
+    above = base.select(*keys, "depth", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "."))).alias("at", "path"))
+    sizes = above.groupBy(*keys, "path").agg(F.count("*").cast("int").alias("subtree_size"), (F.max("depth") - F.min("depth")).cast("int").alias("height"))
     kids = base.groupBy(*keys, F.col("parent_id").alias("node_id")).agg(F.count("*").cast("int").alias("num_children"))
-    out = base.join(sizes, [*keys, "node_id"]).join(kids, [*keys, "node_id"], "left").withColumn("num_children", F.coalesce("num_children", F.lit(0)))
+    out = base.join(sizes, [*keys, "path"]).join(kids, [*keys, "node_id"], "left").withColumn("num_children", F.coalesce("num_children", F.lit(0)))
     return out.withColumn("is_leaf", F.col("num_children") == 0)
 
 
 def with_paths(nodes: DataFrame, keys=KEYS) -> DataFrame:
     """``path``: the root is "0", a child its parent's path, a dot and its
-    index.  A node's ancestors are the nodes whose id range holds its id, so
-    one join finds them all; their indices by depth are the path."""
-    up = nodes.select(*keys, F.col("node_id").alias("a_id"), F.col("subtree_size").alias("a_size"), F.struct(F.col("depth"), F.when(F.col("depth") == 0, F.lit("0")).otherwise(F.col("child_index").cast("string")).alias("index")).alias("step"))
-    inside = (F.col("node_id") >= F.col("a_id")) & (F.col("node_id") < F.col("a_id") + F.col("a_size"))
-    chain = nodes.select(*keys, "node_id").join(up, list(keys)).where(inside)
-    paths = chain.groupBy(*keys, "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda x: x["index"]), ".").alias("path"))
+    index.  A tree's steps are gathered once, in preorder, and folded: the
+    indices of the nodes above one are those that the fold holds by depth."""
+    step = F.struct("node_id", "depth", F.when(F.col("depth") == 0, F.lit("0")).otherwise(F.col("child_index").cast("string")).alias("index"))
+    trees = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    empty = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<node_id:int,path:string>>").alias("done"))
+
+    def visit(state, s):
+        own = F.concat(F.slice(state["open"], F.lit(1), s["depth"]), F.array(s["index"]))
+        return F.struct(own.alias("open"), F.concat(state["done"], F.array(F.struct(s["node_id"].cast("int").alias("node_id"), F.array_join(own, ".").alias("path")))).alias("done"))
+
+    paths = trees.select(*keys, F.inline(F.aggregate("steps", empty, visit, lambda s: s["done"])))
     return nodes.drop("path").join(paths, [*keys, "node_id"])
 
 

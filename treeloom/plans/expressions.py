@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import metrics as M
 from treeloom.functions import operators_table as T
-from treeloom.operators import encode, parsing
+from treeloom.operators import bpe, encode, lexing, parsing
+from treeloom.plans import suites
 
 
 def _part(spark, sf_dir):
@@ -184,7 +185,94 @@ def mixed_text_documents(spark, sf_dir):
     return out.select(F.col("doc_id").alias("p_partkey"), F.array_join("tokens", " ").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (poly_tokens, poly_ids, neg_recip_frac_tokens, function_scope_tokens, expand_square_pairs, latex_ascii_twins, parse_failures, struct_scores, category_mean_scr, summary_means, improvement_ratios, token_stability, operator_preservation, canonical_consistency, tree_depth_fidelity, roundtrip_valid, equivalence, dynamic_vocab, encode_bos_eos, pad_and_mask, decode_skip_special, expression_sexps, mixed_text_documents)}
+def _cases(spark, sf_dir, n, *exprs, **options):
+    """(p_partkey, tokens): one of several expressions by the key's remainder."""
+    rows = _part(spark, sf_dir)
+    cell = lambda x: F.concat(*[F.col(p) if p in ("a", "c", "k") else F.lit(p) for p in x])
+    expr = F.get(F.array(*[cell(x) for x in exprs]), (F.col("p_partkey") % n).cast("int"))
+    return _tokens(rows, expr, **options)[1].select("p_partkey", "tokens")
+
+
+def relation_tokens(spark, sf_dir):
+    return _cases(spark, sf_dir, 5, ("a", "*x < ", "c"), ("a", "*x > ", "c"), ("a", "*x <= ", "c"), ("a", "*x >= ", "c"), ("\\alpha \\leq ", "c"))
+
+
+def calculus_tokens(spark, sf_dir):
+    return _cases(spark, sf_dir, 4, ("diff(x^", "k", " + ", "c", "*y, x)"), ("integrate(cos(x) + ", "c", "*x - ", "c", "*x, x)"), ("limit(x^", "k", " + ", "c", ", x, 1)"), ("\\int x^{", "k", "} dx"))
+
+
+def constant_tokens(spark, sf_dir):
+    return _cases(spark, sf_dir, 8, ("pi*x + ", "c"), ("E + ", "c"), ("oo - ", "c"), ("-", "a", "*oo"), ("oo - oo + ", "c"), ("0*oo*", "a"), ("-", "a"), ("sqrt(x + ", "c", ")"))
+
+
+def float_tokens(spark, sf_dir):
+    return _cases(spark, sf_dir, 3, ("c", ".5*x"), ("-", "c", ".25"), ("x + ", "c", ".5"))
+
+
+def latex_tokens(spark, sf_dir):
+    return _cases(spark, sf_dir, 7, ("\\alpha + ", "a"), ("\\beta^{", "k", "}"), ("\\sqrt{x + ", "a", "}"), ("\\frac{", "a", "}{x}"), ("\\sinh(x) \\cdot ", "a"), ("\\omega \\times ", "a"), ("\\theta - ", "a"))
+
+
+def factor_tokens(spark, sf_dir):
+    rows = _part(spark, sf_dir)
+    expr = F.concat(F.lit("x^2 - "), F.col("a") * F.col("a"))
+    return _tokens(rows, expr, do_factor=True)[1].select("p_partkey", "tokens")
+
+
+def expand_only_tokens(spark, sf_dir):
+    """Expanded but not simplified: the squares' identity is left alone."""
+    return _cases(spark, sf_dir, 2, ("(x + ", "a", ")*(x - ", "a", ")"), ("sin(x)^2 + cos(x)^2 + ", "a"), do_simplify=False)
+
+
+def lexed_delimiters(spark, sf_dir):
+    """Spans of texts with all four delimiters."""
+    text = F.concat(F.lit("Take $x + "), F.col("a"), F.lit("$ and \\(y\\) or \\[z^"), F.col("k"), F.lit("\\] so $$ w $$ end"))
+    docs = _part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return lexing.spans(docs, ascii_math=False).select("doc_id", "span_idx", "span_type", "content", "start", "end")
+
+
+def math_only_documents(spark, sf_dir):
+    rows = _part(spark, sf_dir)
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" $x + "), F.col("a"), F.lit("$ "))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("so $x$ "), F.col("a"))).otherwise(F.lit("  "))
+    docs = rows.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return lexing.is_math_only(lexing.spans(docs, ascii_math=False), docs)
+
+
+def first_token_counts(spark, sf_dir):
+    stats = _stats(spark, sf_dir)
+    return suites.first_counts(stats).select("doc_id", "token_count")
+
+
+def shown_densities(spark, sf_dir):
+    return M.shown_means(_stats(spark, sf_dir), "semantic_density").select("tokenizer", F.round("mean", 7).alias("mean"))
+
+
+def pieces_without_spaces(spark, sf_dir):
+    rows = _part(spark, sf_dir).select("p_partkey", F.array(F.lit("sin"), F.lit("("), F.lit(" "), F.col("a").cast("string"), F.lit("*"), F.lit("x"), F.lit(" "), F.lit(")")).alias("tokens"))
+    return M.score_pieces(rows, drop_spaces=True).select("p_partkey", F.col("token_count").cast("int").alias("token_count"), F.col("operator_nodes").cast("int").alias("operator_nodes"), F.col("function_scope").cast("int").alias("function_scope"))
+
+
+def vocabulary_tiers(spark, sf_dir):
+    return encode.vocabulary_sizes(T.fixed_vocabulary(spark)).select("tier", "n")
+
+
+def text_piece_ids(spark, sf_dir):
+    """A text tokenizer of single letters: its ids follow the fixed vocabulary."""
+    letters = bpe.TextTokenizer(["[UNK]", *"abcdefghijklmnopqrstuvwxyz"], [])
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    run = encode.encode(docs, grow_vocabulary=False, lexer={"ascii_math": False}, stages=encode.Stages(text=letters))
+    return run.documents().select(F.col("doc_id").alias("p_partkey"), F.array_join("input_ids", " ").alias("ids"))
+
+
+def record_warnings(spark, sf_dir):
+    """Whole records: lengths of their parts."""
+    rows = _part(spark, sf_dir)
+    text = F.concat(F.lit("$x + "), F.col("a"), F.lit("$ $@@"), F.col("a"), F.lit("$"))
+    out = encode.full_records(encode.encode(rows.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), grow_vocabulary=False))
+    return out.select(F.col("doc_id").alias("p_partkey"), F.size("tokens").alias("n_tokens"), F.size("metadata").alias("n_metadata"), F.array_join("math_sexps", "|").alias("sexps"), F.size("warnings").alias("n_warnings"))
+
+
+QUERIES = {f.__name__: f for f in (relation_tokens, calculus_tokens, constant_tokens, float_tokens, latex_tokens, factor_tokens, expand_only_tokens, lexed_delimiters, math_only_documents, first_token_counts, shown_densities, pieces_without_spaces, vocabulary_tiers, text_piece_ids, record_warnings, poly_tokens, poly_ids, neg_recip_frac_tokens, function_scope_tokens, expand_square_pairs, latex_ascii_twins, parse_failures, struct_scores, category_mean_scr, summary_means, improvement_ratios, token_stability, operator_preservation, canonical_consistency, tree_depth_fidelity, roundtrip_valid, equivalence, dynamic_vocab, encode_bos_eos, pad_and_mask, decode_skip_special, expression_sexps, mixed_text_documents)}
 
 _P = "WITH p AS (SELECT p_partkey, p_size + 1 AS a, (p_partkey % 7 + 2)::INT AS k, (p_partkey % 90 + 1)::INT AS c FROM part)"
 _POLY = "'[MATH_START] OP_ADD OP_MUL CONST_' || a || ' OP_POW VAR_X CONST_' || k || ' CONST_' || c || ' [MATH_END]'"
@@ -199,6 +287,29 @@ s AS (
 st AS (SELECT *, (ops + d + rel + f + 2)::DOUBLE AS score, (ops + d + rel + f + 2)::DOUBLE / n AS scr, (2 * cops + cd)::DOUBLE / len AS cscr FROM s)"""
 
 ORACLES = {
+    "relation_tokens": f"""{_P} SELECT p_partkey, '[MATH_START] ' || CASE WHEN p_partkey % 5 = 4 THEN 'OP_LE VAR_ALPHA' ELSE (['OP_LT', 'OP_GT', 'OP_LE', 'OP_GE'])[p_partkey % 5 + 1] || ' OP_MUL CONST_' || a || ' VAR_X' END || ' CONST_' || c || ' [MATH_END]' AS tokens FROM p""",
+    "calculus_tokens": f"""{_P} SELECT p_partkey, '[MATH_START] ' || CASE p_partkey % 4 WHEN 0 THEN 'OP_MUL CONST_' || k || CASE WHEN k = 2 THEN ' VAR_X' ELSE ' OP_POW VAR_X CONST_' || (k - 1) END
+ WHEN 1 THEN 'FUNC_SIN [SCOPE_OPEN] VAR_X [SCOPE_CLOSE]' WHEN 2 THEN 'CONST_' || (c + 1) ELSE 'OP_INT OP_POW VAR_X CONST_' || k || ' FUNC_TUPLE [SCOPE_OPEN] VAR_X [SCOPE_CLOSE]' END || ' [MATH_END]' AS tokens FROM p""",
+    "constant_tokens": f"""{_P} SELECT p_partkey, '[MATH_START] ' || CASE p_partkey % 8 WHEN 0 THEN 'OP_ADD OP_MUL CONST_PI VAR_X CONST_' || c WHEN 1 THEN 'OP_ADD CONST_E CONST_' || c WHEN 2 THEN 'CONST_INF' WHEN 3 THEN 'CONST_NEG_INF'
+ WHEN 4 THEN 'CONST_NAN' WHEN 5 THEN 'CONST_NAN' WHEN 6 THEN 'OP_NEG CONST_' || a ELSE 'OP_POW OP_ADD VAR_X CONST_' || c || ' FRAC CONST_1 CONST_2' END || ' [MATH_END]' AS tokens FROM p""",
+    "float_tokens": f"{_P} SELECT p_partkey, '[MATH_START] ' || CASE p_partkey % 3 WHEN 0 THEN 'OP_MUL FLOAT_' || c || 'p5 VAR_X' WHEN 1 THEN 'FLOAT_NEG' || c || 'p25' ELSE 'OP_ADD VAR_X FLOAT_' || c || 'p5' END || ' [MATH_END]' AS tokens FROM p",
+    "latex_tokens": f"""{_P} SELECT p_partkey, '[MATH_START] ' || CASE p_partkey % 7 WHEN 0 THEN 'OP_ADD VAR_ALPHA CONST_' || a WHEN 1 THEN 'OP_POW VAR_BETA CONST_' || k WHEN 2 THEN 'OP_POW OP_ADD VAR_X CONST_' || a || ' FRAC CONST_1 CONST_2'
+ WHEN 3 THEN 'OP_MUL CONST_' || a || ' OP_RECIP VAR_X' WHEN 4 THEN 'OP_MUL CONST_' || a || ' FUNC_SINH [SCOPE_OPEN] VAR_X [SCOPE_CLOSE]' WHEN 5 THEN 'OP_MUL CONST_' || a || ' VAR_OMEGA' ELSE 'OP_ADD VAR_THETA OP_NEG CONST_' || a END || ' [MATH_END]' AS tokens FROM p""",
+    "factor_tokens": f"{_P} SELECT p_partkey, '[MATH_START] OP_MUL OP_ADD VAR_X OP_NEG CONST_' || a || ' OP_ADD VAR_X CONST_' || a || ' [MATH_END]' AS tokens FROM p",
+    "expand_only_tokens": f"""{_P} SELECT p_partkey, '[MATH_START] ' || CASE p_partkey % 2 WHEN 0 THEN 'OP_ADD OP_POW VAR_X CONST_2 OP_NEG ' || CASE WHEN a * a <= 100 THEN 'CONST_' ELSE 'NUM_' END || (a * a)
+ ELSE 'OP_ADD OP_POW FUNC_COS [SCOPE_OPEN] VAR_X [SCOPE_CLOSE] CONST_2 OP_POW FUNC_SIN [SCOPE_OPEN] VAR_X [SCOPE_CLOSE] CONST_2 CONST_' || a END || ' [MATH_END]' AS tokens FROM p""",
+    "lexed_delimiters": rf"""{_P},
+s AS (SELECT p_partkey, unnest([['TEXT', 'Take ', 'Take '], ['MATH', 'x + ' || a, '$x + ' || a || '$'], ['TEXT', ' and ', ' and '], ['MATH', 'y', '\(y\)'], ['TEXT', ' or ', ' or '], ['MATH', 'z^' || k, '\[z^' || k || '\]'], ['TEXT', ' so ', ' so '], ['MATH', 'w', '$$ w $$'], ['TEXT', ' end', ' end']]) AS x, unnest(range(9)) AS i FROM p),
+e AS (SELECT *, sum(length(x[3])) OVER (PARTITION BY p_partkey ORDER BY i) AS stop FROM s)
+SELECT p_partkey AS doc_id, i::INT AS span_idx, x[1] AS span_type, x[2] AS content, (stop - length(x[3]))::INT AS start, stop::INT AS "end" FROM e""",
+    "math_only_documents": "SELECT p_partkey AS doc_id, p_partkey % 3 <> 1 AS math_only FROM part",
+    "first_token_counts": f"{_SUITE_SQL} SELECT doc_id, n AS token_count FROM s ORDER BY doc_id LIMIT 15",
+    "shown_densities": f"{_SUITE_SQL} SELECT 'structural' AS tokenizer, round(avg(math::DOUBLE / n), 7) AS mean FROM st UNION ALL SELECT 'char', round(avg(cops::DOUBLE / len), 7) FROM st",
+    "pieces_without_spaces": "SELECT p_partkey, 8::INT AS token_count, 1::INT AS operator_nodes, 1::INT AS function_scope FROM part",
+    "vocabulary_tiers": "SELECT * FROM (VALUES ('special', 14), ('operator', 52), ('variable', 46), ('constant', 117), ('number', 900)) t(tier, n)",
+    "text_piece_ids": r"""WITH c AS (SELECT p_partkey, unnest(string_split(regexp_replace(p_name, '\s+', '', 'g'), '')) AS ch, unnest(range(length(regexp_replace(p_name, '\s+', '', 'g')))) AS i FROM part)
+SELECT p_partkey, string_agg((CASE WHEN ch BETWEEN 'a' AND 'z' THEN 1129 + ascii(ch) - 96 ELSE 1129 END)::VARCHAR, ' ' ORDER BY i) AS ids FROM c GROUP BY p_partkey""",
+    "record_warnings": f"{_P} SELECT p_partkey, 6::INT AS n_tokens, 6::INT AS n_metadata, '(OP_ADD VAR_X CONST_' || a || ')|[UNK]' AS sexps, 1::INT AS n_warnings FROM p",
     "poly_tokens": f"{_P} SELECT p_partkey, {_POLY} AS tokens FROM p",
     "poly_ids": f"{_P} SELECT p_partkey, {_IDS} AS ids FROM p",
     "neg_recip_frac_tokens": f"""{_P} SELECT p_partkey, '[MATH_START] ' || CASE p_partkey % 3 WHEN 0 THEN 'OP_NEG OP_POW VAR_X CONST_' || k WHEN 1 THEN 'OP_RECIP OP_ADD VAR_X CONST_' || c

@@ -39,6 +39,7 @@ SUITES = {
         "Euler's identity: $e^{i\\pi} + 1 = 0$.",
     ],
 }
+#: The paired inputs.
 PAIRS = {
     "canonical": [
         ("x + 2", "2 + x"), ("a*b + a*c", "a*(b+c)"), ("(x+1)^2", "x^2 + 2*x + 1"), ("x^2 - y^2", "(x+y)*(x-y)"),
@@ -110,18 +111,80 @@ def first_counts(stats: DataFrame, n: int = 15) -> DataFrame:
     return stats.where("tokenizer = 'structural'").orderBy("doc_id").limit(n).select("doc_id", "expr", "token_count")
 
 
-def benchmark(spark: SparkSession, path: str, quick: bool = False, tokenizer: str = "structural") -> DataFrame:
+def sentencepiece_pieces(model_path: str):
+    """A function from a text column to the pieces of a SentencePiece model;
+    where the model or its library is missing, characters, with a warning."""
+    import warnings
+
+    import pyarrow as pa
+
+    try:
+        import sentencepiece
+
+        with open(model_path, "rb") as f:
+            model = f.read()
+        sentencepiece.SentencePieceProcessor(model_proto=model)
+    except (ImportError, OSError, RuntimeError) as e:
+        warnings.warn(f"no SentencePiece model ({e}); characters instead", stacklevel=2)
+        return M.characters
+
+    @F.arrow_udf(returnType="array<string>")
+    def run(text: pa.Array) -> pa.Array:
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_proto=model)
+        return pa.array([own.encode(t.as_py() or "", out_type=str) for t in text], pa.list_(pa.string()))
+
+    return run
+
+
+def bpe_pieces(vocabulary_path: str, pattern: str = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"):
+    """The same for a byte-level vocabulary file (base64 token and rank a line)."""
+    import base64
+    import warnings
+
+    import pyarrow as pa
+
+    try:
+        import tiktoken  # noqa: F401
+
+        with open(vocabulary_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    except (ImportError, OSError, ValueError) as e:
+        warnings.warn(f"no byte-pair vocabulary ({e}); characters instead", stacklevel=2)
+        return M.characters
+
+    @F.arrow_udf(returnType="array<string>")
+    def run(text: pa.Array) -> pa.Array:
+        import tiktoken
+
+        own = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return pa.array([[own.decode_single_token_bytes(i).decode(errors="replace") for i in own.encode_ordinary(t.as_py() or "")] for t in text], pa.list_(pa.string()))
+
+    return run
+
+
+def baseline_comparison(spark: SparkSession, path: str, baseline="char", quick: bool = False) -> DataFrame:
+    """(name, structural, baseline) of the two metrics that any tokenizer has:
+    tokens a character and canonical consistency."""
+    own, other = benchmark(spark, path, quick), benchmark(spark, path, quick, baseline)
+    return own.select("name", F.col("value").alias("structural")).join(other.select("name", F.col("value").alias("baseline")), "name").where(F.col("name").isin("scr_chars", "ccs"))
+
+
+def benchmark(spark: SparkSession, path: str, quick: bool = False, tokenizer="structural") -> DataFrame:
     """(name, value, n) of the five metrics over a dataset file; ``quick``
-    takes the first 20 of each section."""
-    if tokenizer not in ("structural", "char"):
+    takes the first 20 of each section.  ``tokenizer`` is "structural", "char" or
+    a function from a text column to an array of pieces."""
+    if not callable(tokenizer) and tokenizer not in ("structural", "char"):
         raise ValueError(tokenizer)
     guard(spark)
     data, limit = sources.dataset(spark, path), 20 if quick else None
     single = sources.dataset_section(data, "expressions", limit).select(F.lit("e").alias("s"), "idx", F.lit(0).alias("m"), "expr")
     grouped = [sources.dataset_section(data, name, limit).select(F.lit(tag).alias("s"), "idx", F.posexplode("members").alias("m", "expr")) for name, tag in (("equivalent_pairs", "p"), ("rewriting_groups", "g"))]
     rows = reduce(DataFrame.unionAll, [single, *grouped]).withColumn("doc_id", F.row_number().over(Window.orderBy("s", "idx", "m")).cast("bigint"))
-    if tokenizer == "char":
-        sets = rows.withColumn("tokens", M.characters(F.col("expr"))).withColumns({"depth": F.lit(0), "truth": F.lit(0)})
+    if tokenizer != "structural":
+        pieces = M.characters if tokenizer == "char" else tokenizer
+        sets = rows.withColumn("tokens", pieces(F.col("expr"))).withColumns({"depth": F.lit(0), "truth": F.lit(0)})
     else:
         run = encode.encode(rows.select("doc_id", F.col("expr").alias("text")), math_only=True)
         depth = run.tokens.groupBy("doc_id").agg(F.greatest(F.max("depth"), F.lit(0)).alias("depth"))

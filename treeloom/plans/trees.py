@@ -123,7 +123,32 @@ def dense_parent_mask(spark, sf_dir):
     return mask.select("doc_id", F.size("mask").alias("n"), flat.alias("ones"))
 
 
-QUERIES = {f.__name__: f for f in (serialize_flat, serialize_scopes, sexp, indented, subtree_sizes, subtree_hash, dedup_refs, truncate_depth, token_sets, token_categories, children_ids, parent_tokens, sibling_counts, position_keys, parent_edges, children_edges, sibling_edges, subtree_edges, dense_parent_mask)}
+def depth_sequences(spark, sf_dir):
+    return serialize.depth_sequence(_tokens(spark, sf_dir), KEY).select("doc_id", F.array_join("depths", ",").alias("depths"))
+
+
+def token_depths(spark, sf_dir):
+    return _meta(spark, sf_dir).select("doc_id", "position", "depth")
+
+
+def tree_reprs(spark, sf_dir):
+    return serialize.tree_repr(_nodes(spark, sf_dir), KEY)
+
+
+def tree_objects(spark, sf_dir):
+    """The nested objects of whole trees, read back: roots and their children."""
+    kid = "struct<token:string,node_id:int,parent_id:int,subtree_size:int>"
+    rows = serialize.tree_json(_nodes(spark, sf_dir), KEY).select("doc_id", F.from_json("json", f"token string, node_id int, parent_id int, subtree_size int, children array<{kid}>").alias("t"))
+    root = F.struct("t.token", "t.node_id", "t.parent_id", "t.subtree_size")
+    return rows.select("doc_id", F.inline(F.concat(F.array(root), "t.children"))).select("doc_id", "node_id", "parent_id", "token", "subtree_size")
+
+
+def dense_mask_rows(spark, sf_dir):
+    tokens = _tokens(spark, sf_dir)
+    return structure.dense_rows(structure.parent_edges(tokens, KEY), tokens, KEY).select("doc_id", "row", F.array_join("mask", "").alias("mask"))
+
+
+QUERIES = {f.__name__: f for f in (depth_sequences, token_depths, tree_reprs, tree_objects, dense_mask_rows, serialize_flat, serialize_scopes, sexp, indented, subtree_sizes, subtree_hash, dedup_refs, truncate_depth, token_sets, token_categories, children_ids, parent_tokens, sibling_counts, position_keys, parent_edges, children_edges, sibling_edges, subtree_edges, dense_parent_mask)}
 
 # tokens of a serialized tree in closed form: a function takes four places, a product three
 _SERIAL = (
@@ -143,7 +168,9 @@ tk AS (
   UNION ALL SELECT doc_id, CAST(2 + sum(w) AS INT), '[MATH_END]', -1, -1, -1, true FROM p GROUP BY doc_id)
 """
 )
-_PARENT = "SELECT a.doc_id, a.position AS \"row\", b.position AS col FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND b.node_id = a.parent_id WHERE a.node_id > 0"
+_PARENT = """SELECT doc_id, pos AS "row", 1 AS col FROM p
+UNION ALL SELECT doc_id, pos + 2, pos FROM p
+UNION ALL SELECT doc_id, pos + 1, pos FROM p WHERE sz = 3"""
 
 ORACLES = {
     "serialize_flat": NODES_SQL + "SELECT doc_id, node_id AS position, token, depth, node_id, parent_id FROM nodes",
@@ -175,8 +202,8 @@ UNION ALL SELECT doc_id, ci + 1, 0, 'SUBTREE_TRUNCATED', 1, true FROM c""",
     "token_categories": _SERIAL + "SELECT CASE WHEN is_boundary THEN 'boundary' WHEN token LIKE 'OP%' THEN 'operator' WHEN token LIKE 'FUNC%' THEN 'function' WHEN token LIKE 'VAR%' THEN 'variable' ELSE 'constant' END AS category, count(*) AS n FROM tk GROUP BY 1",
     "children_ids": NODES_SQL + "SELECT n.doc_id, n.node_id, coalesce(string_agg(k.node_id::VARCHAR, ',' ORDER BY k.node_id), '') AS children FROM nodes n LEFT JOIN nodes k ON k.doc_id = n.doc_id AND k.parent_id = n.node_id GROUP BY n.doc_id, n.node_id",
     "parent_tokens": _SERIAL + """SELECT a.doc_id, a.position, a.token, (CASE WHEN a.token = '[MATH_START]' THEN 5 WHEN a.token = '[MATH_END]' THEN 6 WHEN a.token = '[SCOPE_OPEN]' THEN 11 WHEN a.token = '[SCOPE_CLOSE]' THEN 12
- WHEN a.token = 'OP_ADD' THEN 14 WHEN a.token = 'OP_MUL' THEN 15 WHEN a.token = 'FUNC_SIN' THEN 32 WHEN a.token = 'VAR_X' THEN 66 WHEN a.token = 'VAR_Y' THEN 67 ELSE 122 + substr(a.token, 7)::INT END)::INT AS token_id, coalesce(b.token, '') AS parent_token
- FROM tk a LEFT JOIN tk b ON a.doc_id = b.doc_id AND b.node_id = a.parent_id AND a.parent_id >= 0""",
+ WHEN a.token = 'OP_ADD' THEN 14 WHEN a.token = 'OP_MUL' THEN 15 WHEN a.token = 'FUNC_SIN' THEN 32 WHEN a.token = 'VAR_X' THEN 66 WHEN a.token = 'VAR_Y' THEN 67 ELSE 122 + substr(a.token, 7)::INT END)::INT AS token_id, CASE WHEN a.parent_id = -1 THEN '' WHEN a.parent_id = 0 THEN 'OP_ADD' WHEN a.token IN ('[SCOPE_OPEN]', '[SCOPE_CLOSE]', 'VAR_X') THEN 'FUNC_SIN' ELSE 'OP_MUL' END AS parent_token
+ FROM tk a""",
     "sibling_counts": _SERIAL + "SELECT doc_id, position, (CASE WHEN node_id > 0 THEN sum(CASE WHEN node_id > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, parent_id) ELSE 0 END)::INT AS sibling_count FROM tk",
     "position_keys": NODES_SQL + "SELECT doc_id, node_id, path AS tree_position_key FROM nodes",
     "parent_edges": _SERIAL + _PARENT,
@@ -185,5 +212,11 @@ UNION ALL SELECT doc_id, ci + 1, 0, 'SUBTREE_TRUNCATED', 1, true FROM c""",
     "subtree_edges": _SERIAL + """SELECT doc_id, position AS "row", position AS col FROM tk WHERE node_id >= 0
 UNION ALL SELECT a.doc_id, b.position, a.position FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND b.node_id = a.parent_id WHERE a.node_id > 0
 UNION ALL SELECT doc_id, 1, position FROM tk WHERE node_id > 0 AND parent_id > 0""",
+    "depth_sequences": _SERIAL + "SELECT doc_id, string_agg(greatest(depth, 0)::VARCHAR, ',' ORDER BY position) AS depths FROM tk GROUP BY doc_id",
+    "token_depths": _SERIAL + "SELECT doc_id, position, greatest(depth, 0)::INT AS depth FROM tk",
+    "tree_reprs": NODES_SQL + "SELECT doc_id, 'OP_ADD(' || string_agg(CASE WHEN sz = 2 THEN 'FUNC_SIN(VAR_X)' ELSE 'OP_MUL(CONST_' || q || ', VAR_Y)' END, ', ' ORDER BY ci) || ')' AS repr FROM c GROUP BY doc_id",
+    "tree_objects": NODES_SQL + """SELECT doc_id, node_id, parent_id, token, subtree_size FROM nodes WHERE depth < 2""",
+    "dense_mask_rows": _SERIAL + """, e AS (SELECT doc_id, pos AS r, 1 AS c FROM p UNION ALL SELECT doc_id, pos + 2, pos FROM p UNION ALL SELECT doc_id, pos + 1, pos FROM p WHERE sz = 3), n AS (SELECT doc_id, count(*)::INT AS n FROM tk GROUP BY doc_id)
+SELECT tk.doc_id, tk.position AS "row", CASE WHEN e.c IS NULL THEN repeat('0', n.n) ELSE repeat('0', e.c) || '1' || repeat('0', n.n - 1 - e.c) END AS mask FROM tk JOIN n ON tk.doc_id = n.doc_id LEFT JOIN e ON e.doc_id = tk.doc_id AND e.r = tk.position""",
     "dense_parent_mask": _SERIAL + "SELECT doc_id, count(*)::INT AS n, count(*) FILTER (node_id > 0)::INT AS ones FROM tk GROUP BY doc_id",
 }

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.operators.parsing import strip
 
 DATASET = "expressions array<string>, equivalent_pairs array<array<string>>, rewriting_groups array<array<string>>, mixed_text_math array<string>, latex_only array<string>, ascii_only array<string>, metadata map<string,string>"
 STATS = "struct<name:string,token_count:int,operator_nodes:int,tree_depth:int,parent_child_relations:int,function_scope:int,canonical_bonus:int,structural_score:double,raw_scr:double,semantic_density:double,structural_efficiency:double>"
-RESULT = f"expression string, category string, sexp string, mathtok {STATS}, gpt2 {STATS}, sentencepiece {STATS}, char_level {STATS}, scr_improvement_vs_gpt2 double, scr_improvement_vs_sp double, scr_improvement_vs_char double, notes array<string>"
+TOKENIZERS = ("structural", "gpt2", "sentencepiece", "char_level")
+
+
+def result_schema(tokenizers=TOKENIZERS) -> str:
+    """Result records: one struct of scores a tokenizer."""
+    return f"expression string, category string, sexp string, {', '.join(f'{t} {STATS}' for t in tokenizers)}, scr_improvement_vs_gpt2 double, scr_improvement_vs_sp double, scr_improvement_vs_char double, notes array<string>"
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -42,9 +47,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def jsonl_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result records; an empty table where there is no such file."""
-    return spark.read.schema(RESULT).json(path) if _exists(spark, path) else spark.createDataFrame([], RESULT)
+def jsonl_results(spark: SparkSession, path: str, tokenizers=TOKENIZERS) -> DataFrame:
+    """Result records, with the tokenizers by the names that the file gives
+    them; an empty table where there is no such file."""
+    schema = result_schema(tokenizers)
+    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def summary(spark: SparkSession, path: str) -> dict:
@@ -56,17 +63,18 @@ def summary(spark: SparkSession, path: str) -> dict:
 
 def save_results(records: DataFrame, stats: DataFrame, out_dir: str) -> None:
     """``records``: one row an expression, written as JSON lines.  ``stats``:
-    the long table (expression, category, tokenizer, raw_scr, ...), which the
-    summary is made from: rounded records and means over rows with tokens."""
+    the long table (expression, category, tokenizer, raw_scr, ...), of which
+    ``per_record`` has the rounded scores of each expression, and the summary
+    the means over rows with tokens (one row, stamped in UTC)."""
     from treeloom.functions.metrics import summary_means
 
     records.write.mode("overwrite").json(f"{out_dir}/results.jsonl")
-    order = Window.partitionBy("expression").orderBy("tokenizer")
-    short = stats.select(F.substring("expression", 1, 60).alias("expression"), "category", "tokenizer", *[F.round(c, 4).alias(c) for c in ("raw_scr", "semantic_density", "structural_efficiency")], F.row_number().over(order).alias("n"))
-    by = short.groupBy("expression", "category").agg(F.array_sort(F.collect_list(F.struct("n", "tokenizer", "raw_scr", "semantic_density", "structural_efficiency"))).alias("scores"))
-    means = summary_means(stats).agg(F.collect_list(F.struct("*")).alias("means"))
-    whole = by.agg(F.collect_list(F.struct("*")).alias("per_record")).join(means).withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    whole.coalesce(1).write.mode("overwrite").json(f"{out_dir}/summary.json")
+    scores = F.array_sort(F.collect_list(F.struct("tokenizer", *[F.round(c, 4).alias(c) for c in ("raw_scr", "semantic_density", "structural_efficiency")])))
+    by = stats.groupBy("expression", "category").agg(scores.alias("scores")).withColumn("expression", F.substring("expression", 1, 60))
+    by.write.mode("overwrite").json(f"{out_dir}/per_record.jsonl")
+    means = summary_means(stats).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("means"))  # one row a tokenizer
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    means.withColumn("timestamp", now).coalesce(1).write.mode("overwrite").json(f"{out_dir}/summary.json")
 
 
-__all__ = ["dataset", "dataset_section", "jsonl_results", "lines", "save_results", "stripped", "summary"]
+__all__ = ["dataset", "dataset_section", "jsonl_results", "lines", "result_schema", "save_results", "stripped", "summary"]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from treeloom.functions.operators_table import fixed_vocabulary
-from treeloom.operators.encode import dynamic_vocabulary, encode
+from treeloom.functions.session import stored
+from treeloom.operators.encode import dynamic_vocabulary, encode, full_records
 from treeloom.operators.lexing import lex_spans
 from treeloom.operators.parsing import expr_record
 from treeloom.sources.text import stripped
@@ -26,31 +27,48 @@ def records(stream: DataFrame) -> DataFrame:
     return spans.withColumn("record", F.when(F.col("span_type") == "MATH", expr_record()(F.col("content"))))
 
 
-def encode_stream(spark: SparkSession, stream: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery:
-    """Writes tokens of each micro-batch and appends new names to the
-    vocabulary; ids stay stable, in the order of batches."""
+def encode_stream(spark: SparkSession, stream: DataFrame, out_dir: str, checkpoint: str, include_metadata: bool = True, trigger: dict | None = None, **options) -> StreamingQuery:
+    """Writes the records of each micro-batch (and the metadata of its tokens)
+    and appends new names to the vocabulary; ids stay stable, in the order of
+    batches.  ``options`` are those of ``encode``.  Document ids go on after
+    the largest of earlier batches.  A batch that is repeated sees what earlier
+    batches wrote and overwrites what it wrote itself, so it gives the same."""
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = batch.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(number) * F.lit(1 << 40))
-        docs = docs.persist()
-        vocabulary = current_vocabulary(spark, out_dir)
-        run = encode(docs, grow_vocabulary=False)
-        grown = dynamic_vocabulary(run.tokens, vocabulary).join(vocabulary.select("token"), "token", "left_anti")
+        docs = stored(batch.withColumn("doc_id", F.monotonically_increasing_id() + _next_id(spark, out_dir, number)), "batch")
+        vocabulary = current_vocabulary(spark, out_dir, number)
+        run = encode(docs, grow_vocabulary=False, vocabulary=vocabulary, include_metadata=include_metadata, **options)
+        grown = stored(dynamic_vocabulary(run.tokens, vocabulary).where("tier = 'dynamic'").join(vocabulary.select("token"), "token", "left_anti"), "grown")
         grown.write.mode("overwrite").parquet(f"{out_dir}/vocabulary/batch={number}")
-        run.vocabulary = current_vocabulary(spark, out_dir)
-        run.documents().write.mode("overwrite").parquet(f"{out_dir}/tokens/batch={number}")
-        docs.unpersist()
+        run.vocabulary = vocabulary.unionAll(grown.select("token", "id", "tier"))
+        rows = full_records(run)
+        rows.drop("metadata").write.mode("overwrite").parquet(f"{out_dir}/tokens/batch={number}")
+        if include_metadata:
+            run.metadata().write.mode("overwrite").parquet(f"{out_dir}/metadata/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_vocabulary(spark: SparkSession, out_dir: str) -> DataFrame:
+def _batches(spark: SparkSession, path: str, schema: str, before: int | None) -> DataFrame | None:
+    """What batches below ``before`` (all, if None) wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def _next_id(spark: SparkSession, out_dir: str, before: int) -> int:
+    rows = _batches(spark, f"{out_dir}/tokens", "doc_id bigint", before)
+    last = None if rows is None else rows.agg(F.max("doc_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def current_vocabulary(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame:
+    """The fixed vocabulary and the names of all batches below ``before``."""
     fixed = fixed_vocabulary(spark)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/vocabulary")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return fixed
-    grown = spark.read.schema("token string, id int, tier string").parquet(f"{out_dir}/vocabulary")
-    return fixed.unionAll(grown.select("token", "id", "tier"))
+    grown = _batches(spark, f"{out_dir}/vocabulary", "token string, id int, tier string", before)
+    return fixed if grown is None else fixed.unionAll(grown.select("token", "id", "tier"))
 
 
 def token_rate(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
