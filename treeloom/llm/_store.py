@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.functions.session import guard
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session
-    names none (tests on one machine) is a temporary one made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="treeloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at
+from treeloom.functions.session import guard, shared_dir
 
 
 class Scratch:

@@ -69,7 +69,7 @@ rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'al
 f AS (
   SELECT page_id, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(v, length(h || rules.p)) AS v
   FROM p JOIN rules ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, rules.p) GROUP BY page_id)
-SELECT p.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'spam|pills|casino|malware|phish') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'spam|pills|casino|malware|phish') OR len(list_filter(range(1, len(string_split(host, '.')) + 1), lambda i: starts_with(md5(array_to_string(string_split(host, '.')[i:], '.')), '00'))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f ON p.page_id = f.page_id
 """
 

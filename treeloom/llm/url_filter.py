@@ -7,7 +7,9 @@ none is left.  Membership of any key of the universe is then exact, and pages
 are judged by bit tests on a constant, without a join.
 
 A cascade that would pass ``max_words`` is cut into shards by a hash of the
-key; each shard's cascade is applied in a pass of its own.
+key.  All shards are built together, and the distinct hosts' keys are tested in
+one pass, each in the task that holds its shard; pages then look up their host
+among the blocked ones.
 """
 
 from __future__ import annotations
@@ -34,9 +36,12 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: Stands in for a block list from outside: domains whose own label has one of
-#: these words are listed.
+#: Stand in for a block list from outside, which the tables do not have: domains
+#: whose own label has one of these words, and, so that no pattern tells the
+#: list, the domains whose md5 starts with ``LISTED_DIGEST``.
 LISTED_WORDS = ("spam", "pills", "casino", "malware", "phish")
+LISTED_DIGEST = "00"
+BROADCAST_HOSTS = 500_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -115,6 +120,34 @@ def build(universe: DataFrame, scratch: Scratch) -> Cascade:
     return Cascade(sizes, scratch.put(_gather(reduce(DataFrame.unionAll, tables))))
 
 
+def build_shards(universe: DataFrame, shards: int, scratch: Scratch) -> Cascade:
+    """``universe``: distinct (key, listed, shard).  The table has one row a
+    shard (shard, words); all shards have the same sizes."""
+    side = lambda p: universe.where(p).select("key", "shard")
+    inside, outside, level, sizes, tables = side("listed"), side("not listed"), 0, [], []
+    most = lambda df: df.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = most(inside)
+    while n:
+        level += 1
+        if level > MAX_LEVELS:
+            raise RuntimeError("the cascade did not end")
+        words = math.ceil(max(64, n * (BITS_FIRST if level == 1 else BITS_NEXT)) / 64)
+        bits = 64 * words
+        at = inside.select("shard", F.explode(F.array(*_places(F.col("key"), level, bits))).alias("p"))
+        made = at.groupBy("shard", F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("bits"))
+        every = universe.sparkSession.range(shards * words).select(F.expr(f"cast(id div {words} as int)").alias("shard"), (F.col("id") % words).alias("word"))
+        whole = every.join(made, ["shard", "word"], "left").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("w"))
+        whole = scratch.put(whole.select("shard", F.transform("w", lambda x: x["bits"]).alias("w")))
+        sizes.append(bits)
+        tables.append(whole.select("shard", F.lit(level).alias("level"), "w"))
+        through = scratch.put(outside.join(whole.hint("shuffle_hash"), "shard").where(_held(F.col("w"), F.col("key"), level, bits)).select("key", "shard"))
+        inside, outside, n = through, inside, most(through)
+    if not tables:
+        return Cascade([], None)
+    rows = reduce(DataFrame.unionAll, tables).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("level", "w"))).alias("w"))
+    return Cascade(sizes, scratch.put(rows.select("shard", F.transform("w", lambda x: x["w"]).alias("words"))))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; nulls if none does."""
     rule = verdict = None
@@ -127,14 +160,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def listed_domains(keys: DataFrame, words=LISTED_WORDS) -> DataFrame:
-    return keys.select("key", F.split("key", r"\.")[0].rlike("|".join(words)).alias("listed"))
+    return keys.select("key", (F.split("key", r"\.")[0].rlike("|".join(words)) | F.md5("key").startswith(LISTED_DIGEST)).alias("listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_words: int = MAX_WORDS) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``.
 
-    ``listed`` (column ``key``) is the block list; by default the domains with
-    a listed word.  A page whose host or a parent domain is listed is blocked
+    ``listed`` (column ``key``) is the block list; by default a stand-in made
+    from the domains themselves.  A page whose host or a parent domain is listed is blocked
     unless a rule says otherwise.  Null and malformed urls have an empty host,
     no key, and are allowed.  Repeated pages and null ids are judged like any
     row; only the two named columns are read."""
@@ -151,21 +184,20 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col
     listed_keys = universe.where("listed").agg(F.count("*").alias("n"), F.max(F.size(F.split("key", r"\."))).alias("labels")).first()
     shards = max(1, math.ceil(listed_keys["n"] * (BITS_FIRST + 4) / 64 / max_words))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    shard_of = lambda k: F.pmod(F.xxhash64(k, F.lit(99)), F.lit(shards))
-    labels = F.size(F.split("host", r"\."))
-    for s in range(shards):
-        cascade = build(universe if shards == 1 else universe.where(shard_of(F.col("key")) == s), scratch)
-        if not cascade.sizes:
-            continue
+    labels, blocked = F.size(F.split("host", r"\.")), F.lit(False)
+    if shards == 1:
+        cascade = build(universe, scratch)
         # the host's last d labels, for every d that a listed key has; a
         # constant cannot be looked up inside a lambda, so they are spelt out
-        words, found = cascade.table.scalar(), F.col("__in") if "__in" in urls.columns else F.lit(False)
-        for d in range(1, listed_keys["labels"] + 1):
+        for d in range(1, (listed_keys["labels"] or 0) + 1) if cascade.sizes else ():
             key = F.substring_index("host", ".", -d)
-            here = (labels >= d) & (key != "") & cascade.test(words, key)
-            found = found | (here if shards == 1 else (shard_of(key) == s) & here)
-        urls = urls.withColumn("__in", found)
-        if shards > 1:
-            urls = scratch.put(urls)
-    blocked = F.col("__in") if "__in" in urls.columns else F.lit(False)
+            blocked = blocked | ((labels >= d) & (key != "") & cascade.test(cascade.table.scalar(), key))
+    else:
+        shard = F.pmod(F.xxhash64("key", F.lit(99)), F.lit(shards)).cast("int").alias("shard")
+        cascade = build_shards(universe.select("key", "listed", shard), shards, scratch)
+        held = urls.select("host").distinct().select("host", F.explode(domains(F.col("host"))).alias("key")).select("host", "key", shard)
+        found = held.join(cascade.table.hint("shuffle_hash"), "shard").where(cascade.test(F.col("words"), F.col("key"))).select(F.col("host").alias("__host")).distinct()
+        found = scratch.put(found.withColumn("__in", F.lit(True)))
+        urls = urls.join(F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found, F.col("host") == F.col("__host"), "left")
+        blocked = F.coalesce("__in", F.lit(False))
     return urls.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
