@@ -60,13 +60,17 @@ def register_sql(spark) -> None:
     spark.udf.register("expr_equiv", equal)
 
 
-def parsed(exprs: DataFrame, expr: str = "expr", **options) -> DataFrame:
+def parsed(exprs: DataFrame, expr: str = "expr", check: bool = False, **options) -> DataFrame:
     """``exprs`` with a ``record`` for each; equal texts are parsed once, in as
-    many tasks as the session shuffles to (short texts would else be put into
-    one, as their bytes are few and their parsing is not)."""
+    many tasks as the session shuffles to.  They are dealt by a hash of the
+    text: by the text itself the deal would be merged with that of ``distinct``,
+    which puts short texts into one task, as their bytes are few and their
+    parsing is not.  ``check`` adds the columns of ``validate``."""
     tasks = int(exprs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = exprs.select(F.col(expr).alias("__expr")).distinct().repartition(tasks, "__expr")
+    distinct = exprs.select(F.col(expr).alias("__expr")).distinct().repartition(tasks, F.xxhash64("__expr"))
     records = distinct.withColumn("record", expr_record(**options)(F.col("__expr")))
+    if check:
+        records = validate(records, "__expr")
     return exprs.join(records, exprs[expr].eqNullSafe(records["__expr"])).drop("__expr")
 
 
@@ -100,5 +104,6 @@ def strip_delimiters(text: Column) -> Column:
 
 def validate(records: DataFrame, expr: str = "expr") -> DataFrame:
     """Adds ``is_valid``, ``reconstructed`` and ``error`` of the round trip."""
-    checked = records.withColumn("__v", validate_nodes(F.col(expr), F.col("record.nodes")))
+    rows = F.transform("record.nodes", lambda n: F.struct(*[n[c].alias(c) for c in ("node_id", "parent_id", "child_index", "token", "name")]))
+    checked = records.withColumn("__v", validate_nodes(F.col(expr), rows))
     return checked.select("*", "__v.*").drop("__v")

@@ -140,8 +140,7 @@ def tree_depth_fidelity(spark, sf_dir):
 
 def roundtrip_valid(spark, sf_dir):
     suite = _suite(spark, sf_dir)
-    records = parsing.parsed(suite, "expr")
-    return parsing.validate(records).groupBy("category").agg(F.count_if("is_valid").alias("valid"), F.count("*").alias("n"))
+    return parsing.parsed(suite, "expr", check=True).groupBy("category").agg(F.count_if("is_valid").alias("valid"), F.count("*").alias("n"))
 
 
 def equivalence(spark, sf_dir):
