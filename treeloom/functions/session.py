@@ -36,3 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all tasks where a plain scan gives few partitions (a
+    small file is one task, however long Python works on it); larger scans,
+    plans with exchanges and streams stay as they lie."""
+    if df.isStreaming:
+        return df
+    plan, tasks = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= 2 * tasks:
+        return df
+    return df.repartition(tasks)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.functions.session import spread
 from treeloom.kernel.lex import SEEDS, lex
 
 SPAN = "array<struct<span_type:string,content:string,start:int,end:int,confidence:double>>"
@@ -24,7 +25,7 @@ def lex_spans(ascii_math: bool = True, min_math_len: int = 3, strict_compat: boo
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """(doc_id, span_idx, span_type, content, start, end, confidence)."""
-    found = docs.select(key, F.posexplode(lex_spans(**options)(F.col(text))).alias("span_idx", "s"))
+    found = spread(docs.select(key, text)).select(key, F.posexplode(lex_spans(**options)(F.col(text))).alias("span_idx", "s"))
     return found.select(key, "span_idx", "s.*")
 
 
