@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import metrics as M
 from treeloom.functions import operators_table as T
-from treeloom.operators import bpe, encode, parsing, serialize, structure, tree
-from treeloom.plans import trees
+from treeloom.kernel import lex
+from treeloom.operators import bpe, encode, lexing, parsing, serialize, structure, tree
+from treeloom.plans import texts, trees
 from treeloom.sources import text as sources
 from treeloom.streaming import encode_stream as streaming
 
@@ -250,3 +251,22 @@ def test_large_dense_mask(spark):
     rows = structure.dense_rows(edges, tokens)
     assert rows.count() == n and rows.where(F.size("mask") != n).count() == 0
     assert {r["row"]: [i for i, x in enumerate(r["mask"]) if x] for r in rows.where("array_contains(mask, 1)").collect()} == {4999: [0, 4999], 7: [3]}
+
+
+def test_merge_ranges_with_missing_bounds(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    # s = part % 50, e = s + supp % 7 + 1; no two rows of an order are equal, so the SQL has one result
+    rows = [(1, 0, 4), (1, 10, None), (1, 10, 1), (1, 30, None), (2, None, 3), (2, 5, 0), (2, 6, None), (3, None, None), (4, 7, None), (None, 1, 2), (None, 1, None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = [tuple(r) for r in texts.merge_ranges(spark, str(tmp_path)).select("doc_id", "start", "end").collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(found, key=str) == sorted(db.execute(texts.ORACLES["merge_ranges"]).fetchall(), key=str)
+    assert sorted(r[1:] for r in found if r[0] == 1) == [(0, 5), (10, 12), (30, None)]
+
+
+def test_merge_ranges_with_equal_ranges(spark):
+    ranges = {k: [(1, 4), (8, 12), (8, 12), (12, 16)] + [(20 + k % 3, 23)] * (k % 5) for k in range(200)}
+    rows = spark.createDataFrame([(k, s, e) for k, r in ranges.items() for s, e in r], "doc_id bigint, start bigint, end bigint").repartition(7)
+    found = sorted(tuple(r) for r in lexing.merge_ranges(rows).select("doc_id", "start", "end").collect())
+    assert found == sorted((k, s, e) for k, r in ranges.items() for s, e in lex.merge_ranges(r))

@@ -46,8 +46,11 @@ def span_confidence(length: Column) -> Column:
 
 
 def merge_ranges(ranges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Merges overlapping and touching [start, end) ranges of each key."""
-    order = Window.partitionBy(key).orderBy("start", "end")
+    """Merges overlapping and touching [start, end) ranges of each key.  A
+    missing bound sorts last, as in SQL, so a range whose end is missing joins
+    a known one of the same start.  Both windows read one sort, so equal ranges
+    keep their places from one to the other."""
+    order = Window.partitionBy(key).orderBy(F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last())
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = ranges.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0)))
     island = island.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
